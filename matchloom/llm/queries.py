@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, packing, token_counts, topk
+from . import exact_dedup, language_id, licenses, packing, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def _fold(divisor: int, remainder: int):
+    """Ids whose CRC-32, as text, leaves that remainder."""
+    return lambda i: F.crc32(i.cast("string").cast("binary")) % divisor == remainder
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_read(spark, sf_dir, "documents"), held_out=_fold(3, 1))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(_read(spark, sf_dir, "documents"))
 
@@ -33,5 +42,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op8_exact_dedup, op9_token_counts, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op6_language_id, op8_exact_dedup, op9_token_counts, op10_license_scan)}
 ORACLE_SQL = {"op3_exact_topk": topk.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_license_scan": licenses.oracle_sql()}
