@@ -23,7 +23,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 
 def pack_power_of_two(
-    docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = 200_000
+    docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000
 ) -> DataFrame:
     """One row for each piece of each document's ids (with end_id last): the piece is its own sequence.
 

@@ -1,4 +1,4 @@
-"""Token counts by a map-side two-tier lookup: a broadcast table of frequent chunks, then worker caches."""
+"""Token counts by a map-side two-tier lookup: a broadcast table of frequent pre-tokens, then worker caches."""
 
 from __future__ import annotations
 
@@ -12,19 +12,19 @@ from . import tokenizing
 from .shared import sql_type
 
 
-def frequent_chunks(docs: DataFrame, text: str = "text", entries: int = 1 << 16, per_task: int = 1 << 14) -> DataFrame:
-    """(chunk binary, n long): the most frequent lower-cased chunks over every text.
+def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = 1 << 16, per_task: int = 1 << 14) -> DataFrame:
+    """(chunk binary, n long): the most frequent pre-tokens over every text.
 
-    Each task sums its whole share in a summary of at most 4 * per_task chunks and hands on per_task of
-    them, so what is shuffled is bounded by the number of tasks, not by the number of chunks. The
-    summary decides only which chunks the fast tier holds; results never depend on it."""
+    Each task sums its whole share in a summary of at most 4 * per_task pre-tokens and hands on per_task of
+    them, so what is shuffled is bounded by the number of tasks, not by that of pre-tokens. The
+    summary decides only which of them the fast tier holds; results never depend on it."""
 
     def summary(batches):
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 if t:
-                    seen.update(t.lower().split())
+                    seen.update(tokenizing.pretokens(t))
                     if len(seen) > 4 * per_task + len(t):
                         seen = Counter(dict(seen.most_common(2 * per_task)))
         top = [(c, n) for c, n in seen.most_common(per_task) if len(c) <= tokenizing.LONGEST_KEPT]
@@ -35,17 +35,17 @@ def frequent_chunks(docs: DataFrame, text: str = "text", entries: int = 1 << 16,
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", entries: int = 1 << 16, cache: int = 200_000
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", entries: int = 1 << 16, cache: int = 400_000
 ) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of docs; tokenizer: path of a tokenizers .json file.
 
     A null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows each give a row;
     an empty table gives none; other columns are not read. No pre-token is shuffled to be counted: the
-    broadcast table holds at most `entries` chunks of at most 64 bytes each (4 MB at the default), the
+    broadcast table holds at most `entries` pre-tokens of at most 64 bytes each (4 MB at the default), the
     worker caches at most `cache` more, and anything else is encoded when it is met."""
     spark = docs.sparkSession
     model = tokenizing.load(tokenizer)
-    rows = frequent_chunks(docs, text_col, entries).select("chunk").collect()
+    rows = frequent_pretokens(docs, text_col, entries).select("chunk").collect()
     encoder = tokenizing.ChunkEncoder(model)
     chunks = [bytes(r[0]) for r in rows]
     table = spark.sparkContext.broadcast((b"\n".join(chunks), bytes(min(255, encoder.count(c)) for c in chunks)))

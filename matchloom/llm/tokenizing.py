@@ -1,23 +1,45 @@
-"""Token ids of a Hugging Face BPE file, worked out once for each distinct white-space-free chunk.
+"""Token ids of a Hugging Face BPE file, worked out once for each distinct pre-token.
 
-The tokenizer's pre-tokenizer never joins characters across white space, so the ids of a text are
-those of its chunks, one after another. A chunk's ids come from a bounded cache; a chunk that the
-cache lacks is cut at the tokenizer's own pre-token borders (only where every character is ASCII or a
-Latin-1 letter, whose classes are certain) and what is still unknown is encoded by the library. Texts
-that hold one of the special strings are encoded whole by the library."""
+A text of ASCII and Latin-1 letters, whose classes are certain, is cut into pre-tokens by the tokenizer's
+own pattern. In other texts this holds for the chunks between white space, across which the tokenizer never
+joins characters; a chunk with any other character is one pre-token here and encoded by the library.
+Ids of pre-tokens come from a bounded cache. Texts that hold one of the special strings are encoded
+whole by the library."""
 
 from __future__ import annotations
 
 import re
 from array import array
 
-#: Characters for which the pre-token pattern below is exactly the tokenizer's.
-_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_ASCII = bytes([*range(9, 14), *range(32, 127)])
+_LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
 _PIECES = re.compile(
     rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+"
 ).findall
-#: Longer chunks are encoded but not kept.
+#: Longer pre-tokens are encoded but not kept.
 LONGEST_KEPT = 64
+#: A byte's character in the vocabulary of a byte-level BPE: printable ones stand for themselves.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTE_LEVEL = {b: chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256)}
+
+
+def _is_plain(text: bytes) -> bool:
+    return not (rest := text.translate(None, _ASCII)) or _LATIN(rest) is not None
+
+
+def pretokens(text: bytes) -> list[bytes]:
+    """Pre-tokens of a text with A-Z in lower case; see above."""
+    low = text.lower()
+    if _is_plain(low):
+        return _PIECES(low)
+    out = []
+    for chunk in low.split():
+        if _is_plain(chunk):
+            out += _PIECES(chunk)
+        else:
+            out.append(chunk)
+    return out
 
 
 def default_path() -> str:
@@ -53,29 +75,29 @@ class _Cache(dict):
 class ChunkEncoder:
     """Gives each text's ids as little-endian unsigned 32-bit bytes, or their number.
 
-    seed: numbers of tokens of chunks that are looked up first (counting only)."""
+    seed: numbers of tokens of pre-tokens that are looked up first (counting only)."""
 
-    def __init__(self, tokenizer_json: str, cache: int = 200_000, seed: dict[bytes, int] | None = None):
+    def __init__(self, tokenizer_json: str, cache: int = 400_000, seed: dict[bytes, int] | None = None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.plain = Tokenizer.from_str(tokenizer_json)
         self.plain.encode_special_tokens = True
+        self.model = self.plain.model
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = _Cache(self._library, cache)
-        self.ids_of = _Cache(self._chunk, cache)
-        self.count_of = _Cache(lambda c: len(self._chunk(c)) >> 2, cache, seed)
+        self.ids_of = _Cache(self._encoded, cache)
+        self.count_of = _Cache(lambda c: len(self._encoded(c)) >> 2, cache, seed)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        out = array("I", ids)
-        return out.tobytes()
-
-    def _library(self, chunk: bytes) -> bytes:
-        return self._packed(self.plain.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return array("I", ids).tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES(chunk))) if _PLAIN(chunk) else self._library(chunk)
+    def _encoded(self, pretoken: bytes) -> bytes:
+        text = pretoken.decode("utf-8", "replace")
+        if not _is_plain(pretoken):
+            return self._packed(self.plain.encode(text, add_special_tokens=False).ids)
+        low = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return self._packed([t.id for t in self.model.tokenize(low)])
 
     def _is_special(self, text: bytes) -> bool:
         return b"<|" in text and any(s in text for s in self.special)
@@ -83,9 +105,9 @@ class ChunkEncoder:
     def ids(self, text: bytes) -> bytes:
         if self._is_special(text):
             return self._packed(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        return b"".join(map(self.ids_of.__getitem__, text.lower().split()))
+        return b"".join(map(self.ids_of.__getitem__, pretokens(text)))
 
     def count(self, text: bytes) -> int:
         if self._is_special(text):
             return len(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        return sum(map(self.count_of.__getitem__, text.lower().split()))
+        return sum(map(self.count_of.__getitem__, pretokens(text)))
