@@ -1,8 +1,48 @@
-"""From raw documents to packed sequences: the stages and the run over a folder of tables."""
+"""From raw documents to packed sequences: five stages, each an operator of matchloom.llm.
 
+Each stage works on all that the one before kept; its result is written as Parquet and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from matchloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from matchloom.llm.shared import written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the languages that the labels teach go."""
+    return language_id.keep_identified(docs)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space one stays."""
+    return exact_dedup.keep_first_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources, languages and topics are sampled to tempered shares."""
+    return mixing.mix(docs).where("mix_kept").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in pieces of power-of-two lengths."""
+    return packing.pack_power_of_two(docs)
+
+
+STAGES = [("language", language), ("copies", copies), ("near_copies", near_copies), ("mixture", mixture), ("packed", packed)]
+
+#: Token ids and MinHash have no form in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

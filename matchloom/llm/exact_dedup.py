@@ -95,6 +95,15 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that content_groups keeps; of fully equal rows one."""
+    sha = F.sha2(F.translate(whole_text(text_col), BLANKS, "").cast("binary"), 256)
+    kept = content_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_own", sha)
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_own"] == kept["_sha"]), "left_semi")
+    return rows.dropDuplicates([id_col, "_own"]).drop("_own")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),

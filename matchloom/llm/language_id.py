@@ -119,6 +119,18 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return out
 
 
+def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
+    """Languages, cosines and rejections of texts."""
+    lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+    lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    for begin in range(0, len(lettered), 256):
+        part = lettered[begin : begin + 256]
+        near, cosine = model.nearest(np.stack([ngram_counts(texts[i].encode("utf-8", "replace")) for i in part]).astype(np.float32))
+        for i, n, c in zip(part, near.tolist(), cosine.tolist()):
+            lang[i], score[i], out[i] = model.languages[n], c, c < model.floors[n]
+    return lang, score, out
+
+
 def identify_languages(
     docs: DataFrame, held_out=None, a_language: int = 400, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -133,21 +145,25 @@ def identify_languages(
     held_out = held_out or (lambda i: F.lit(False))
     model = fit(labelled_sample(docs, id_col, text_col, lang_col, held_out, a_language), clusters, slack)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, "held_out", "lang_pred", "score", "rejected"]
 
     def predicted(batches):
-        own = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = part.column(2).to_pylist()
-                lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if own.languages else []
-                lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                if lettered:
-                    near, cosine = own.nearest(np.stack([ngram_counts(texts[i].encode("utf-8", "replace")) for i in lettered]).astype(np.float32))
-                    for i, n, c in zip(lettered, near.tolist(), cosine.tolist()):
-                        lang[i], score[i], out[i] = own.languages[n], c, c < own.floors[n]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score), pa.array(out)], names)
+            found = _predict(shared.value, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found, (pa.string(), pa.float64(), pa.bool_()))], [id_col, "held_out", "lang_pred", "score", "rejected"])
 
     schema = f"`{id_col}` {sql_type(docs, id_col)}, held_out boolean, lang_pred string, score double, rejected boolean"
     return docs.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)), text_col).mapInArrow(predicted, schema)
+
+
+def keep_identified(docs: DataFrame, a_language: int = 400, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with their columns, that identify_languages doesn't reject; nothing is held out."""
+    model = fit(labelled_sample(docs, id_col, text_col, lang_col, lambda i: F.lit(False), a_language), clusters, slack)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        for batch in batches:
+            _, _, out = _predict(shared.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([not x for x in out], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

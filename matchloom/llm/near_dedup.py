@@ -279,6 +279,12 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id",
     return out.select(F.col("id").cast(sql_type(docs, id_col)).alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with their columns, that near_duplicates keeps."""
+    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(id_col)
+    return docs.join(dropped, id_col, "left_anti")
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
