@@ -6,12 +6,13 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sql_type, written
+from .shared import all_columns, sql_type, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: 40 bands of 5 rows: a pair at similarity 0.75 shares no band with a chance of 2e-5, at 0.8 of 1e-7.
@@ -132,10 +133,29 @@ def _tested(pairs: DataFrame, marks: DataFrame, threshold: float, miss: float) -
     return both.mapInArrow(test, "a long, b long")
 
 
+def _likely_in(rows: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows whose id is in ids, and a few others: texts that no pair asks for are not shuffled.
+
+    A bit for each hash of an id, 2^bits in all: that is what reaches the driver, however many ids there are."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    found = words.toArrow()
+    table[found.column("word").to_numpy()] = found.column("mask").to_numpy().astype(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def asked(slots: pd.Series) -> pd.Series:
+        x = slots.to_numpy().astype(np.uint64)
+        return pd.Series((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
+
+    return rows.where(asked(slot))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity; texts: (id, text)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = written(texts.join(ids, "id", "left_semi"), "texts")
+    some = written(_likely_in(texts, ids).join(ids, "id", "left_semi"), "texts")
     both = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(some.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
 
     def check(batches):
@@ -179,58 +199,116 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def _within(members: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs within a bucket, of different components and both other than its hub, that the test leaves.
-
-    members: (bucket, many, hub, id, component, n_shingles, signature). The rows of a bucket are dealt to blocks of
-    about BLOCK rows and each pair of blocks is one group, so that no task holds a whole large bucket. Only pairs
-    that pass are ever made into rows."""
-    parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    one = F.pmod(F.xxhash64("id"), parts).cast("int")
-    dealt = members.withColumn("own", one).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n_shingles").select("bucket", "low", "high", "own", "id", "component", "n_shingles", "signature")
-
-    def pairs_of(rows: pa.Table):
-        n = rows.column("n_shingles").to_numpy()
-        ids, comp, own = (rows.column(c).to_numpy() for c in ("id", "component", "own"))
-        marks = _binary(rows.column("signature").combine_chunks(), np.uint8, PERMUTATIONS)
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")
-        a_out, b_out = [], []
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, last[i])
-            j = j[comp[j] != comp[i]]
-            if low != high:
-                j = j[own[j] != own[i]]
-            if len(j):
-                j = j[likely(np.broadcast_to(marks[i], (len(j), PERMUTATIONS)), marks[j], threshold, miss)]
-                a_out += [ids[i]] * len(j)
-                b_out += ids[j].tolist()
-        a, b = np.array(a_out, np.int64), np.array(b_out, np.int64)
-        return _batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _by_group(make):
+    """A mapInArrow function over rows sorted by (bucket, low, high): make gets the table of each group of two rows or more."""
 
     def groups(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if held is not None:
-                table = pa.concat_tables([held, table])
+                table = pa.concat_tables([held, table]).combine_chunks()
             keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "low", "high")], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1 if len(keys) else []
             begin = 0
             for cut in cuts:
                 if cut - begin > 1:
-                    yield pairs_of(table.slice(begin, cut - begin))
+                    yield make(table.slice(begin, cut - begin))
                 begin = int(cut)
             held = table.slice(begin)
         if held is not None and held.num_rows > 1:
-            yield pairs_of(held)
+            yield make(held)
+
+    return groups
+
+
+def _doubtful(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(bucket, low, high, own, id, component, n_shingles): members that the test leaves with another of their bucket.
+
+    members: (bucket, many, hub, id, component, n_shingles, signature), without the hubs. The rows of a bucket are dealt
+    to blocks of about BLOCK rows and each pair of blocks is one group, so no task holds a whole large bucket. A
+    member is given once for a group, however many others of other components it may be like."""
+    parts = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n_shingles")
+    names = ["bucket", "low", "high", "own", "id", "component", "n_shingles"]
 
-    return dealt.mapInArrow(groups, "a long, b long").distinct()
+    def marked(rows: pa.Table):
+        n, comp, own = (rows.column(c).to_numpy() for c in ("n_shingles", "component", "own"))
+        marks = _binary(rows.column("signature").combine_chunks(), np.uint8, PERMUTATIONS)
+        within = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")
+        seen = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, last[i])
+            j = j[comp[j] != comp[i]] if within else j[(comp[j] != comp[i]) & (own[j] != own[i])]
+            if len(j):
+                j = j[likely(np.broadcast_to(marks[i], (len(j), PERMUTATIONS)), marks[j], threshold, miss)]
+                seen[j] = True
+                seen[i] |= len(j) > 0
+        return rows.select(names).filter(pa.array(seen)).combine_chunks().to_batches()
+
+    def flat(batches):
+        for group in _by_group(marked)(batches):
+            yield from group
+
+    schema = "bucket long, low int, high int, own int, id long, component long, n_shingles long"
+    return dealt.select(*names, "signature").mapInArrow(flat, schema)
+
+
+def _joining_links(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components in each group, checked on the sets of whole texts.
+
+    A group's pairs are checked where they stand, sizes first, and a pair that the links found so far already
+    join is passed over; so a group gives fewer links than it has members, whatever the number of its pairs."""
+    ids = doubtful.select("id").distinct()
+
+    def made(batches):
+        for batch in batches:
+            sets = [shingle_set(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield _batch({"id": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+    sets = written(_likely_in(texts, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(made, "id long, shingles binary"), "sets")
+    rows = doubtful.join(sets, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n_shingles")
+
+    def joined(table: pa.Table):
+        ids, comp, n = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        slots = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        width = int(slots.max(initial=-1)) + 1
+        edges = np.cumsum([0, *map(len, sets)])
+        own = [slots[x:y] for x, y in zip(edges[:-1], edges[1:])]
+        label = np.unique(comp, return_inverse=True)[1]
+        last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")
+        held = np.zeros(width, bool)
+        a_out, b_out = [], []
+        for i in range(len(ids) - 1):
+            held[own[i]] = True
+            for j in range(i + 1, last[i]):
+                if label[i] != label[j]:
+                    common = int(np.count_nonzero(held[own[j]]))
+                    if DENOMINATOR * common >= NUMERATOR * (n[i] + n[j] - common):
+                        label[label == label[j]] = label[i]
+                        a_out.append(min(ids[i], ids[j]))
+                        b_out.append(max(ids[i], ids[j]))
+            held[own[i]] = False
+        return _batch({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return rows.select("bucket", "low", "high", "id", "component", "n_shingles", "shingles").mapInArrow(_by_group(joined), "a long, b long")
 
 
-BLOCK = 1024
+BLOCK = 512
+#: Bands whose stars are met first; most members of a large group are joined by them.
+FIRST = 6
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that found doesn't have in one component."""
+    for c in "ab":
+        own = found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+        pairs = pairs.join(own, c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    return pairs.where("c_a <> c_b")
 
 
 def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,37 +321,43 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id",
     gives no rows; other columns are not read.
 
     1. Equal sets become one class, known by its smallest id, so exact copies never meet as pairs.
-    2. Every class puts its MinHash bands into buckets. In each bucket the smallest id is the hub and meets
-       every member: work in proportion to the bucket, however large a group of near copies is.
+    2. Every class puts its MinHash bands into buckets. In each bucket of the first FIRST bands the smallest id
+       is the hub and meets every member: work in proportion to the bucket, however large a group of near
+       copies is. In the other bands the same is done for members that are not yet in their hub's component.
     3. Pairs whose signatures, compared 20 at a time, make a similarity of 0.75 less likely than `miss` are
        pruned; the others are checked on the sets of their whole texts.
     4. In buckets that still hold several components all other pairs across components are tested in
-       the same way, block by block, and only those that pass become rows. Links within one component add
-       nothing to the result, so none that matters is left out.
+       the same way, block by block, and checked in their group with the sets of those that pass; only links
+       that join components become rows. Links within one component add nothing to the result.
     What can be missed: a pair that shares no band (2e-5 at 0.75 and less above) or that the test prunes."""
     threshold = NUMERATOR / DENOMINATOR
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = written(sketches(texts), "sketches")
     filled = made.where("same IS NOT NULL AND id IS NOT NULL")
-    classes = filled.groupBy("same").agg(F.min("id").alias("class"))
+    classes = written(filled.groupBy("same").agg(F.min("id").alias("class")), "classes")
     member = written(made.select("id", "n_shingles", "same").join(classes, "same", "left").select("id", "n_shingles", "class"), "members")
     heads = member.where("id = class").select("id").distinct()
     marks = filled.join(heads, "id", "left_semi").dropDuplicates(["id"])
     marks = written(marks.select("id", "n_shingles", "signature", "bands"), "marks")
-    placed = marks.select("id", F.explode("bands").alias("bucket"))
+    placed = marks.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("many"), F.min("id").alias("hub")).where("many > 1")
-    inside = written(placed.join(shared, "bucket").select("bucket", "many", "hub", "id"), "buckets")
-    stars = inside.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    inside = written(placed.join(shared, "bucket").select("bucket", "band", "many", "hub", "id"), "buckets")
     texts = texts.where("id IS NOT NULL")
-    links = written(_verified(written(_tested(stars, marks, threshold, miss), "candidates"), texts), "stars")
+
+    def linked(pairs):
+        return _verified(written(_tested(pairs.select("a", "b").distinct(), marks, threshold, miss), "candidates"), texts)
+
+    stars = inside.where("id <> hub").select("band", F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = written(linked(stars.where(F.col("band") < FIRST)), "stars")
+    found = components(links)
+    links = links.union(written(linked(_apart(stars.where(F.col("band") >= FIRST), found)), "stars"))
     found = components(links)
     labelled = inside.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("bucket")
     rest = labelled.where("id <> hub").join(mixed, "bucket", "left_semi").join(marks.select("id", "n_shingles", "signature"), "id")
-    across = written(_within(rest, threshold, miss), "candidates")
-    if across.limit(1).count():
-        more = written(_verified(across, texts), "across")
-        found = components(links.union(more))
+    doubtful = written(_doubtful(rest, threshold, miss), "doubtful")
+    if doubtful.limit(1).count():
+        found = components(links.union(written(_joining_links(doubtful, texts), "across")))
     out = member.join(found.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "id")
     return out.select(F.col("id").cast(sql_type(docs, id_col)).alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -282,7 +366,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id",
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with their columns, that near_duplicates keeps."""
     dropped = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(id_col)
-    return docs.join(dropped, id_col, "left_anti")
+    return docs.join(dropped, id_col, "left_anti").select(*all_columns(docs))
 
 
 ORACLE_SQL = r"""

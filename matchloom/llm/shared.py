@@ -39,5 +39,33 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_columns(df: DataFrame) -> list:
+    """df's columns, whatever characters their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of a written table whose count `n` reaches a bound, at most `most` of them.
+
+    The bound comes from a histogram of the counts, a few hundred rows whatever the table's size; a sorted
+    limit would send `most` rows from every task to the driver."""
+    level = F.floor(8 * F.log2(n)).cast("int")
+    sizes, held, least = counts.groupBy(level.alias("k")).count().collect(), 0, None
+    for r in sorted(sizes, key=lambda r: -r["k"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["k"]
+    return counts.where(level >= least) if least is not None else counts.limit(0)
