@@ -27,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources, languages and topics are sampled to tempered shares."""
-    return mixing.mix(docs).where("mix_kept").select(*docs.columns)
+    return mixing.mixed_sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

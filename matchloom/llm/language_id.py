@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sql_type
+from .shared import bounded_batches, sql_type
 
 #: Hashed n-grams of one, two and three bytes share this many dimensions.
 DIMS = 1 << 13
@@ -89,6 +89,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     Only labels are counted first; a row's chance is then a_language over its language's rows. Texts with
     no letter teach nothing. The vectors that reach the driver are bounded by a_language for each language."""
+    bounded_batches(docs)
     fold = ~F.coalesce(held_out(F.col(id_col)), F.lit(False))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & fold)
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -166,4 +167,6 @@ def keep_identified(docs: DataFrame, a_language: int = 400, clusters: int = 3, s
             _, _, out = _predict(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([not x for x in out], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    # Numbered names, as mapInArrow doesn't take every character that a column's name may hold.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows.mapInArrow(kept, rows.schema).toDF(*docs.columns)

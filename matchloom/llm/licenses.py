@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .license_templates import TEMPLATES
-from .shared import sql_type
+from .shared import bounded_batches, sql_type
 
 #: Phrases and labels of the plain search.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -190,6 +190,7 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "
     template accepts, 0.5 where only a phrase stands, else 0. Null and empty texts give zeros, null
     places and empty labels; repeated rows each give a row; an empty table gives none. There is no
     shuffle, and a text is read whole, once; the automata run only where a template's opening words stand."""
+    bounded_batches(docs)
     automata = [(label, Automaton(t)) for label, t in (TEMPLATES if templates is None else templates)]
     plain = [(b" " + b" ".join(words(p.encode())) + b" ", label) for p, label in (PHRASES if phrases is None else phrases)]
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

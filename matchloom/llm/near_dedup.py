@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import all_columns, sql_type, written
+from .shared import all_columns, bounded_batches, sql_type, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 #: 40 bands of 5 rows: a pair at similarity 0.75 shares no band with a chance of 2e-5, at 0.8 of 1e-7.
@@ -330,6 +330,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id",
        the same way, block by block, and checked in their group with the sets of those that pass; only links
        that join components become rows. Links within one component add nothing to the result.
     What can be missed: a pair that shares no band (2e-5 at 0.75 and less above) or that the test prunes."""
+    bounded_batches(docs)
     threshold = NUMERATOR / DENOMINATOR
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = written(sketches(texts), "sketches")

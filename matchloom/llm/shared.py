@@ -26,11 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Has Spark hand Python at most so many rows at once: with whole texts, its 10,000 would take much memory
+    on either side. The session's setting is lowered, never raised."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read again: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,8 @@ _HALF = 0.5
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma for x >= 0.5, by Stirling's series from 8 on."""
-    shift = np.zeros_like(x)
-    x = x.copy()
+    x = np.array(x, float)
+    shift = np.zeros(x.shape)
     for _ in range(8):
         low = x < 8
         shift[low] -= np.log(x[low])
