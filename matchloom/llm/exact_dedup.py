@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sql_type, whole_text, written
+from .shared import all_columns, bounded_batches, own_name, sql_type, whole_text, written
 
 #: Deleted before texts are compared: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
+ORDERED = 24
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,18 +20,22 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in its original text stays, of these the smallest id (a null id last); of fully equal rows, ids
     included, one is marked kept. A null text counts as empty, so null and blank texts form one group.
 
-    Rows are range-partitioned by (normalised text, id) with Spark's sampled splitters, so a large group
+    Rows are range-partitioned in the order of their content with Spark's sampled splitters, so a large group
     of copies is spread over as many partitions as its size asks for, and sorted there (spilling when it
-    must). One pass compares each text with its neighbour in full and closes a run when they differ. Only
+    must). The order is that of a text's first ORDERED characters, then of a 64-bit hash of all of it, then
+    of the whole text: a splitter, which the driver holds, is then short however long the texts are. One pass compares each text with its neighbour in full and closes a run when they differ. Only
     a partition's first and last run can go on elsewhere: these, two rows a partition, are summed by
     their SHA-256 and joined back. The runs are written once to the shared folder, without texts."""
+    bounded_batches(docs)
     kind = sql_type(docs, id_col)
     base = docs.select(
         F.col(id_col).alias("id"),
         F.translate(whole_text(text_col), BLANKS, "").alias("norm"),
         F.char_length(whole_text(text_col)).cast("long").alias("n"),
     )
-    spread = base.repartitionByRange("norm", "id").sortWithinPartitions("norm", F.desc("n"), F.asc_nulls_last("id"))
+    base = base.withColumns({"begin": F.substring("norm", 1, ORDERED), "hash": F.xxhash64("norm")})
+    spread = base.repartitionByRange("begin", "hash", "id").sortWithinPartitions("begin", "hash", "norm", F.desc("n"), F.asc_nulls_last("id"))
+    spread = spread.select("id", "norm", "n")
     schema = f"id {kind}, text_sha256 string, n long, first boolean, head_id {kind}, head_n long, size long, edge boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -98,10 +103,11 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that content_groups keeps; of fully equal rows one."""
     sha = F.sha2(F.translate(whole_text(text_col), BLANKS, "").cast("binary"), 256)
-    kept = content_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own", sha)
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_own"] == kept["_sha"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_own"]).drop("_own")
+    own, key, digest = (own_name(docs, n) for n in ("own_digest", "kept_id", "kept_digest"))
+    kept = content_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))
+    rows = docs.withColumn(own, sha)
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept[key]) & (rows[own] == kept[digest]), "left_semi")
+    return rows.dropDuplicates([id_col, own]).select(*all_columns(docs))
 
 
 ORACLE_SQL = r"""
