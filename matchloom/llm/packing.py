@@ -7,7 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokenizing
-from .shared import sql_type
+from .shared import bounded_batches, sql_type
 
 #: A sequence's id: the logarithm of its length above, then the map task, then the task's own count.
 LENGTH_SHIFT, TASK_SHIFT = 58, 34
@@ -23,7 +23,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 
 def pack_power_of_two(
-    docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000
+    docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = tokenizing.CACHE
 ) -> DataFrame:
     """One row for each piece of each document's ids (with end_id last): the piece is its own sequence.
 
@@ -32,6 +32,7 @@ def pack_power_of_two(
     `longest`, no sequence needs padding and none holds two documents; sequences of one length have
     adjacent ids. There is no shuffle. A null or empty text is the end id alone; repeated rows, and
     rows with a null id, are packed like any other; an empty table gives no rows."""
+    bounded_batches(docs)
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizing.load(tokenizer))
@@ -39,7 +40,7 @@ def pack_power_of_two(
     names = [id_col, "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"]
 
     def packed(batches):
-        own = tokenizing.ChunkEncoder(shared.value, cache)
+        own = tokenizing.worker_encoder(shared.value, cache)
         task, made = TaskContext.get().partitionId() << TASK_SHIFT, 0
 
         def rows(ids, at, start, length, parts, total):

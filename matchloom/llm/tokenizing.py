@@ -16,6 +16,8 @@ _LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
 _PIECES = re.compile(
     rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+"
 ).findall
+#: Pre-tokens that an encoder keeps, some 150 bytes each.
+CACHE = 400_000
 #: Longer pre-tokens are encoded but not kept.
 LONGEST_KEPT = 64
 #: A byte's character in the vocabulary of a byte-level BPE: printable ones stand for themselves.
@@ -77,7 +79,7 @@ class ChunkEncoder:
 
     seed: numbers of tokens of pre-tokens that are looked up first (counting only)."""
 
-    def __init__(self, tokenizer_json: str, cache: int = 400_000, seed: dict[bytes, int] | None = None):
+    def __init__(self, tokenizer_json: str, cache: int = CACHE, seed: dict[bytes, int] | None = None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
@@ -93,6 +95,8 @@ class ChunkEncoder:
         return array("I", ids).tobytes()
 
     def _encoded(self, pretoken: bytes) -> bytes:
+        if pretoken.isalpha():  # of bytes: ASCII letters alone
+            return self._packed([t.id for t in self.model.tokenize(pretoken.decode("ascii"))])
         text = pretoken.decode("utf-8", "replace")
         if not _is_plain(pretoken):
             return self._packed(self.plain.encode(text, add_special_tokens=False).ids)
@@ -111,3 +115,15 @@ class ChunkEncoder:
         if self._is_special(text):
             return len(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         return sum(map(self.count_of.__getitem__, pretokens(text)))
+
+
+_own: dict[tuple, ChunkEncoder] = {}
+
+
+def worker_encoder(tokenizer_json: str, cache: int = CACHE, seed: dict[bytes, int] | None = None) -> ChunkEncoder:
+    """This Python process's encoder, with what it has cached in earlier tasks; the last one asked for is kept."""
+    key = (hash(tokenizer_json), cache, hash(frozenset((seed or {}).items())))
+    if key not in _own:
+        _own.clear()
+        _own[key] = ChunkEncoder(tokenizer_json, cache, seed)
+    return _own[key]
