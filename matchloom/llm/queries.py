@@ -60,4 +60,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_exact_topk, op4_mixing, op5_lm_scoring, op6_language_id, op7_training_order, op8_exact_dedup, op9_token_counts, op10_license_scan)}
-ORACLE_SQL = {"op2_minhash": near_dedup.ORACLE_SQL, "op3_exact_topk": topk.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_license_scan": licenses.oracle_sql()}
+ORACLE_SQL = {"op2_minhash": near_dedup.ORACLE_SQL, "op3_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_license_scan": licenses.oracle_sql()}
