@@ -92,6 +92,16 @@ def A1_tsv_scan(spark, d):
     return tables.read_records(spark, _tsv(spark, d)).withColumn("country", F.trim("country"))
 
 
+@query("SELECT concat('S1-', p_partkey) AS entity_id, concat(p_partkey) AS business_name, '' AS business_address, concat(p_size) AS country FROM part")
+def A2_numeric_names(spark, d):
+    """Names of digits alone stay texts, as no type is inferred."""
+    path = folder(spark)
+    text_of = lambda c: F.col(c).cast("string")
+    rows = read(spark, d, "part").select(F.concat(F.lit("S1-"), text_of("p_partkey")).alias("entity_id"), text_of("p_partkey").alias("business_name"), F.lit("").alias("business_address"), text_of("p_size").alias("country"))
+    sinks.write_tsv(rows, path)
+    return tables.read_tsv(spark, path)
+
+
 @query(S.with_(BIZ) + "SELECT entity_id, business_name FROM biz")
 def A3_pruned_scan(spark, d):
     return tables.read_tsv(spark, _tsv(spark, d)).select("entity_id", "business_name")
@@ -135,6 +145,22 @@ def B1_key_parquet(spark, d):
     return tables.read_parquet(spark, path)
 
 
+@query(S.with_(GT) + "SELECT source1_entity_id, matched_entity_id, left(matched_entity_id, 2) AS target_source FROM gt")
+def B2_select_to_parquet(spark, d):
+    path = folder(spark)
+    sinks.write_parquet(spark.sql("SELECT *, left(matched_entity_id, 2) AS target_source FROM {g}", g=gt(spark, d)), path, ["target_source"])
+    return spark.read.schema("source1_entity_id string, matched_entity_id string, target_source string").parquet(path)
+
+
+@query(S.with_(ENT, ENG, KEYS) + "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source AS target, rule FROM keys a JOIN keys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule = 'name_exact'")
+def B3_pair_checkpoint(spark, d):
+    """Pairs written once for the steps that pass over them more than once; made only where they aren't there."""
+    path = folder(spark)
+    make = lambda: blocking.pairs_with_rules(_keys(spark, d).where("rule = 'name_exact'"))
+    tables.cached(spark, path, make)
+    return tables.cached(spark, path, make)
+
+
 @query(S.with_(ENT, GT, LISTS) + "SELECT source1_entity_id, array_to_string(ids, ',') AS matched_entity_ids FROM lists")
 def B4_matching_tsv(spark, d):
     path = folder(spark)
@@ -412,6 +438,13 @@ def I6_rule_recall(spark, d):
     return profile.recall_by_rule(gt(spark, d), _keys(spark, d))
 
 
+@query(S.with_(ENT, ENG, KEYS, GT, _REC) + "SELECT target, rule, recovered_pairs, pair_recall FROM rec")
+def B7_report_csv(spark, d):
+    path = folder(spark)
+    sinks.write_report(profile.recall_by_rule(gt(spark, d), _keys(spark, d)).select("target", "rule", "recovered_pairs", "pair_recall"), path)
+    return spark.read.schema("target string, rule string, recovered_pairs long, pair_recall double").option("header", True).csv(path)
+
+
 @query(S.with_(ENT, ENG, KEYS, GT) + """, need AS (SELECT source1_entity_id, count(*) AS need FROM gt GROUP BY 1), h AS (SELECT a.rule AS rule, source1_entity_id, count(*) AS hits FROM gt JOIN keys a ON a.entity_id = source1_entity_id JOIN keys b ON b.entity_id = matched_entity_id AND a.rule = b.rule AND a.key = b.key GROUP BY ALL)
 SELECT rule, (SELECT count(*) FROM need) AS non_singleton_entities, count(*) FILTER (WHERE hits = need) AS fully_recovered_entities, round(100 * count(*) FILTER (WHERE hits = need) / (SELECT count(*) FROM need), 6) AS full_entity_recall FROM h JOIN need USING (source1_entity_id) GROUP BY rule""")
 def I7_entity_recall(spark, d):

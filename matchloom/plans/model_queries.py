@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..operators import blocking, evaluation, features, keys, submission, training
-from ..sources import sinks
+from ..sources import sinks, tables
 from . import sqltext as S
 from .block_queries import _CAND, _mat, _mkeys, _pipe, _pkeys, _top, _TOPK, folder
 from .projection import ENT, GT, biz, ent, gt
@@ -292,6 +292,27 @@ def P2_ranked_candidates(spark, d):
     return submission.ranked_lists(_top(spark, d), _s1(spark, d), name="candidate_entity_ids")
 
 
+@query(S.with_(ENT, MAT, MKEYS) + _TOPK + _RL + " SELECT * FROM rl")
+def B5_candidate_tsv(spark, d):
+    """The candidate lists as the file has them."""
+    path = folder(spark)
+    sinks.write_tsv(P2_ranked_candidates(spark, d), path)
+    return tables.read_tsv(spark, path, ["source1_entity_id", "candidate_entity_ids"])
+
+
+@query(S.with_(ENT, MAT, MKEYS) + _TOPK + "SELECT s1_id, array_to_string(list(cand_id ORDER BY score DESC, cand_id), ',') AS ids FROM top GROUP BY s1_id")
+def J14_ids_by_score(spark, d):
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("cand_id").alias("i"))))
+    return _top(spark, d).groupBy("s1_id").agg(F.array_join(F.transform(order, lambda x: x["i"]), ",").alias("ids"))
+
+
+@query(S.with_(ENT, MAT, MKEYS) + _TOPK + "SELECT s1_id, cand_id AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS n FROM top) WHERE n = 1")
+def J15_argmax(spark, d):
+    """Each entity's best candidate, the smaller id of equals, as one aggregate without a sort."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("cand_id").alias("i"))).alias("m")
+    return _top(spark, d).groupBy("s1_id").agg(best).select("s1_id", F.col("m.i").alias("best"), (-F.col("m.s")).alias("score"))
+
+
 @query(S.with_(ENT, MAT, MKEYS) + _TOPK + "SELECT s1_id, cand_id, source FROM top")
 def B6_candidate_dump(spark, d):
     return _top(spark, d).select("s1_id", "cand_id", "source")
