@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what this driver has written to the shared folder; results that still read it are lost."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -38,6 +49,7 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     """df, written once to the shared folder and read again: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{label}"
+    _written.append(path.rsplit("/", 1)[0])
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
