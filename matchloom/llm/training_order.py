@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .shared import shared_dir, written
+from .shared import bounded_batches, shared_dir, written
 
 #: A record: the number of real ids as 4 bytes, the ids as 2 bytes each, and one line feed.
 HEAD, TAIL = 4, 1
@@ -44,21 +44,23 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1, text_col: str = "text", cache: int = 400_000) -> DataFrame:
-    """(task, place, n_ids, ids): each map task's documents, an end id after each, cut every `length` ids.
+def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1, text_col: str = "text", cache: int = tokenizing.CACHE) -> DataFrame:
+    """(task, place, n_ids, packed): each map task's documents, an end id after each, cut every `length` ids.
 
-    Only a task's last sequence is filled up, with end ids; ids are unsigned 16-bit."""
+    Only a task's last sequence is filled up, with end ids. packed is the zstd frame of the unsigned 16-bit ids,
+    as these are written and shuffled before they become records."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizing.load(tokenizer))
     end, size = np.uint16(end_id).tobytes(), 2 * length
 
     def made(batches):
-        own, task, place, rest = tokenizing.ChunkEncoder(shared.value, cache), TaskContext.get().partitionId(), 0, b""
+        own, task, place, rest = tokenizing.worker_encoder(shared.value, cache), TaskContext.get().partitionId(), 0, b""
 
         def rows(parts, counts):
             nonlocal place
             n = len(parts)
             place += n
-            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place - n, place), pa.int64()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], ["task", "place", "n_ids", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place - n, place), pa.int64()), pa.array(counts, pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in parts], pa.binary())], ["task", "place", "n_ids", "packed"])
 
         for batch in batches:
             held, waiting = [rest], len(rest)
@@ -81,18 +83,18 @@ def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = 2048,
         if rest:
             yield rows([rest + end * ((size - len(rest)) // 2)], [len(rest) // 2])
 
-    return docs.select(text_col).mapInArrow(made, "task long, place long, n_ids int, ids binary")
+    return docs.select(text_col).mapInArrow(made, "task long, place long, n_ids int, packed binary")
 
 
-def materialise(made: DataFrame, path: str, key: int = 17, a_shard: int = 2048) -> int:
-    """Writes (task, place, n_ids, ids) as shards under path and returns the number of sequences.
+def materialise(made: DataFrame, path: str, key: int = 17, length: int = 2048, a_shard: int = 2048) -> int:
+    """Writes (task, place, n_ids, packed) as shards under path and returns the number of sequences.
 
     A sequence's index counts tasks and places in order; its slot is the index permuted. Shard s holds the
     slots from s * a_shard on as records of one stride, so slot i begins at byte (i % a_shard) * stride of
     file part-<i // a_shard>. Spark's own writer commits the files, so a lost task leaves no half shard.
     An empty input writes no shard."""
     per_task = made.groupBy("task").agg(F.count("*").alias("n"))
-    # One row for each map task, whatever the number of sequences.
+    # One row for each map task, whatever the number of sequences: 16 bytes each, so a million tasks make 16 MB.
     before = per_task.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     n = made.count()
     if not n:
@@ -102,11 +104,18 @@ def materialise(made: DataFrame, path: str, key: int = 17, a_shard: int = 2048)
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
-    placed = made.join(before, "task").select(slot_of(F.col("before") + F.col("place")).alias("slot"), "n_ids", "ids")
+    placed = made.join(F.broadcast(before), "task").select(slot_of(F.col("before") + F.col("place")).alias("slot"), "n_ids", "packed")
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {a_shard} as int)"))
     dealt = placed.repartitionById(-(-n // a_shard), "shard").sortWithinPartitions("slot")
-    head = F.reverse(F.unhex(F.lpad(F.hex("n_ids"), 8, "0")))
-    dealt.select(F.concat(head, F.col("ids")).cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+
+    def records(batches):
+        for batch in batches:
+            heads = (int(x).to_bytes(HEAD, "little") for x in batch.column(0).to_pylist())
+            rows = [h + pa.decompress(x, 2 * length, "zstd", asbytes=True) for h, x in zip(heads, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
+
+    whole = dealt.select("n_ids", "packed").mapInArrow(records, "record binary")
+    whole.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
     return n
 
 
@@ -141,6 +150,6 @@ def write_training_order(docs: DataFrame, path: str | None = None, key: int = 17
     shared folder. The sequences are written there once first, so a lost executor cannot change an index."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/shards"
-    if not materialise(written(sequences(docs, length=length, **options), "sequences"), path, key, a_shard):
+    if not materialise(written(sequences(docs, length=length, **options), "sequences", "uncompressed"), path, key, length, a_shard):
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, n_ids int, ids binary, ids_crc32 long")
     return read_records(spark, path, length, a_shard)
