@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .shared import sql_type
+from .shared import bounded_batches, most_frequent, sql_type, written
 
 
 def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = 1 << 16, per_task: int = 1 << 14) -> DataFrame:
@@ -31,11 +31,11 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = 1 <<
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
 
     parts = docs.select(F.col(text)).mapInArrow(summary, "chunk binary, n long")
-    return parts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(entries)
+    return most_frequent(written(parts.groupBy("chunk").agg(F.sum("n").alias("n")), "frequent"), entries)
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", entries: int = 1 << 16, cache: int = 400_000
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", entries: int = 1 << 16, cache: int = tokenizing.CACHE
 ) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of docs; tokenizer: path of a tokenizers .json file.
 
@@ -43,6 +43,7 @@ def count_tokens(
     an empty table gives none; other columns are not read. No pre-token is shuffled to be counted: the
     broadcast table holds at most `entries` pre-tokens of at most 64 bytes each (4 MB at the default), the
     worker caches at most `cache` more, and anything else is encoded when it is met."""
+    bounded_batches(docs)
     spark = docs.sparkSession
     model = tokenizing.load(tokenizer)
     rows = frequent_pretokens(docs, text_col, entries).select("chunk").collect()
@@ -54,7 +55,7 @@ def count_tokens(
     def counted(batches):
         blob, lengths = table.value
         seed = {c: n for c, n in zip(blob.split(b"\n"), lengths) if c and n < 255}
-        own = tokenizing.ChunkEncoder(shared.value, cache, seed)
+        own = tokenizing.worker_encoder(shared.value, cache, seed)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
