@@ -37,9 +37,14 @@ class Linkage:
     columns: list[str]
 
 
-def candidate_pairs(records: DataFrame, settings: Settings) -> DataFrame:
-    """(s1_id, cand_id, source, score, a, b): each entity's best candidates with both records."""
+def candidate_pairs(records: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
+    """(s1_id, cand_id, source, score, a, b): each entity's best candidates with both records.
+
+    With a folder the normal records are written there once; else each of the joins makes them again."""
     made = keys.matcher_features(records)
+    if folder:
+        sinks.write_parquet(made, f"{folder}/records")
+        made = records.sparkSession.read.parquet(f"{folder}/records")
     long = keys.keys_matcher(made, settings.country_in_key)
     score = features.cheap_score if settings.kernels else features.jaccard_score
     return blocking.with_records(blocking.topk_candidates(long, made, score, settings.per_rule, settings.candidates), made)
@@ -55,7 +60,7 @@ def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings |
 
     The pairs with their features are written to folder, as fitting passes over them again and again."""
     s = settings or Settings()
-    frame, columns = pair_frame(candidate_pairs(records, s), s)
+    frame, columns = pair_frame(candidate_pairs(records, s, folder), s)
     sinks.write_parquet(frame, f"{folder}/pairs")
     frame = records.sparkSession.read.parquet(f"{folder}/pairs")
     own = training.hash_split(records.where("source = 'S1'").select("entity_id"), s.train_share, s.seed)
@@ -77,10 +82,10 @@ def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings |
     return Linkage(model, threshold, scores, metrics, columns)
 
 
-def predict(records: DataFrame, linkage: Linkage, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+def predict(records: DataFrame, linkage: Linkage, settings: Settings | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Match lists and candidate lists, a row for every S1 record."""
     s = settings or Settings()
-    frame, _ = pair_frame(candidate_pairs(records, s), s)
+    frame, _ = pair_frame(candidate_pairs(records, s, folder), s)
     scored = training.scored(linkage.model, frame).select("s1_id", "cand_id", "score")
     entities = records.where("source = 'S1'").select("entity_id")
     return submission.match_lists(scored, entities, linkage.threshold), submission.ranked_lists(scored, entities, name="candidate_entity_ids")
@@ -94,7 +99,7 @@ def run(spark: SparkSession, sources: list[str], truth: str, out: str, settings:
     pairs = tables.truth_pairs(tables.read_tsv(spark, truth, tables.TRUTH))
     linkage = fit(records, pairs, out, settings)
     sinks.save_model(linkage.model, f"{out}/model")
-    matches, candidates = predict(records, linkage, settings)
+    matches, candidates = predict(records, linkage, settings, f"{out}/inference")
     sinks.write_tsv(matches, f"{out}/matching_results")
     sinks.write_tsv(candidates, f"{out}/candidate_pairs")
     sinks.write_report(linkage.scores.orderBy("threshold"), f"{out}/thresholds")
