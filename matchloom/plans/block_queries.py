@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 def folder(spark) -> str:
     """A new path for what a query writes: beside the checkpoints, or in a temporary folder where Spark is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = base or tempfile.gettempdir()
     return f"{base.rstrip('/')}/matchloom-{uuid.uuid4().hex}"
