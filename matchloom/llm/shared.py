@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if (found := sc._jsc.sc().getCheckpointDir()).isDefined():
         return found.get().rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="matchloom-")
     sc.setCheckpointDir(path)
