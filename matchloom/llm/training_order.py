@@ -20,6 +20,10 @@ from .shared import bounded_batches, shared_dir, written
 HEAD, TAIL = 4, 1
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def stride(length: int) -> int:
     return HEAD + 2 * length + TAIL
 
@@ -54,13 +58,14 @@ def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = 2048,
     end, size = np.uint16(end_id).tobytes(), 2 * length
 
     def made(batches):
+        codec = _codec()
         own, task, place, rest = tokenizing.worker_encoder(shared.value, cache), TaskContext.get().partitionId(), 0, b""
 
         def rows(parts, counts):
             nonlocal place
             n = len(parts)
             place += n
-            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place - n, place), pa.int64()), pa.array(counts, pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in parts], pa.binary())], ["task", "place", "n_ids", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array(range(place - n, place), pa.int64()), pa.array(counts, pa.int32()), pa.array([codec.compress(x, asbytes=True) for x in parts], pa.binary())], ["task", "place", "n_ids", "packed"])
 
         for batch in batches:
             held, waiting = [rest], len(rest)
@@ -109,9 +114,10 @@ def materialise(made: DataFrame, path: str, key: int = 17, length: int = 2048, a
     dealt = placed.repartitionById(-(-n // a_shard), "shard").sortWithinPartitions("slot")
 
     def records(batches):
+        codec = _codec()
         for batch in batches:
             heads = (int(x).to_bytes(HEAD, "little") for x in batch.column(0).to_pylist())
-            rows = [h + pa.decompress(x, 2 * length, "zstd", asbytes=True) for h, x in zip(heads, batch.column(1).to_pylist())]
+            rows = [h + codec.decompress(x, 2 * length, asbytes=True) for h, x in zip(heads, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
     whole = dealt.select("n_ids", "packed").mapInArrow(records, "record binary")
