@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sql_type, written
+from .shared import bounded_batches, most_frequent, sql_type, written
 from .tree_model import DEPTH, ContextTree, Scorer, grams
 
 #: Bytes of text, and distinct words or grams, that a task gathers before it counts or hands on.
@@ -124,6 +124,7 @@ def score_texts(
 
     Broadcast are the tree (bounded by `entries`) and the `frequent` words with their counts; words beyond
     them go through a join with all counts."""
+    bounded_batches(docs)
     spark = docs.sparkSession
     held_out = held_out or (lambda i: F.lit(False))
     kind = sql_type(docs, id_col)
@@ -135,7 +136,7 @@ def score_texts(
     n_texts = learned.count()
     total, distinct = sums["n"] + n_texts, sums["v"] + (n_texts > 0)
     tree = fit_tree(counts.where("gram IS NOT NULL").select("gram", "n"), entries)
-    top = words.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(frequent).collect()
+    top = most_frequent(words.where(F.octet_length("word") <= 64), frequent, "c").collect()
     shared = spark.sparkContext.broadcast((tree, [bytes(r[0]) for r in top], [math.log10(r[1] + 1) for r in top]))
     end = math.log10(n_texts + 1)
     depth = tree.depth
