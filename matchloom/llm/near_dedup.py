@@ -278,21 +278,22 @@ def _joining_links(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
         slots = np.unique(np.concatenate(sets), return_inverse=True)[1]
         width = int(slots.max(initial=-1)) + 1
         edges = np.cumsum([0, *map(len, sets)])
-        own = [slots[x:y] for x, y in zip(edges[:-1], edges[1:])]
         label = np.unique(comp, return_inverse=True)[1]
         last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")
         held = np.zeros(width, bool)
         a_out, b_out = [], []
         for i in range(len(ids) - 1):
-            held[own[i]] = True
-            for j in range(i + 1, last[i]):
+            end = last[i]
+            if (label[i + 1 : end] == label[i]).all():
+                continue
+            held[slots[edges[i] : edges[i + 1]]] = True
+            common = np.add.reduceat(held[slots[edges[i + 1] : edges[end]]], edges[i + 1 : end] - edges[i + 1], dtype=np.int64)
+            held[slots[edges[i] : edges[i + 1]]] = False
+            for j in i + 1 + np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (n[i] + n[i + 1 : end] - common)):
                 if label[i] != label[j]:
-                    common = int(np.count_nonzero(held[own[j]]))
-                    if DENOMINATOR * common >= NUMERATOR * (n[i] + n[j] - common):
-                        label[label == label[j]] = label[i]
-                        a_out.append(min(ids[i], ids[j]))
-                        b_out.append(max(ids[i], ids[j]))
-            held[own[i]] = False
+                    label[label == label[j]] = label[i]
+                    a_out.append(min(ids[i], ids[j]))
+                    b_out.append(max(ids[i], ids[j]))
         return _batch({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return rows.select("bucket", "low", "high", "id", "component", "n_shingles", "shingles").mapInArrow(_by_group(joined), "a long, b long")
