@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,6 @@ from .shared import bounded_batches, sql_type
 
 #: Hashed n-grams of one, two and three bytes share this many dimensions.
 DIMS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -28,6 +26,11 @@ def ngram_counts(text: bytes) -> np.ndarray:
     return np.bincount(slots >> np.uint32(32 - 13), minlength=DIMS)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (Unicode's L categories; numbers such as ½ are none)."""
+    return any(map(str.isalpha, text or ""))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -64,47 +67,59 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(rows: list[tuple[str, np.ndarray]], clusters: int = 3, slack: float = 0.35) -> Centroids:
-    """From (language, counts) of labelled documents.
+def fit(sample: Sample, clusters: int = 3, slack: float = 0.35) -> Centroids:
+    """From the counts of labelled documents.
 
     A language's floor is `slack` times the cosine that its least typical hundredth of the sample has."""
-    languages = sorted({lang for lang, _ in rows})
-    counts = np.stack([c for _, c in rows]) if rows else np.zeros((0, DIMS))
-    seen = (counts > 0).sum(0)
-    model = Centroids(languages, (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(len(languages)))
-    x, names = model.vectors(counts), np.array([lang for lang, _ in rows])
-    parts = [spherical_kmeans(x[names == lang], clusters) for lang in languages]
+    names = np.array(sample.languages)
+    languages, counts = sorted(set(sample.languages)), sample.counts
+    idf = (np.log((1 + len(names)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    model = Centroids(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(len(languages)))
+    parts = []
+    for i, lang in enumerate(languages):
+        x = model.vectors(counts[names == lang])
+        parts.append(spherical_kmeans(x, clusters).astype(np.float32))
+        model.floors[i] = slack * np.quantile((x @ parts[-1].T).max(1), 0.01)
     if parts:
-        model.centroids = np.concatenate(parts).astype(np.float32)
+        model.centroids = np.concatenate(parts)
         model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-        for i, lang in enumerate(languages):
-            own = (x[names == lang] @ model.centroids[model.owner == i].T).max(1)
-            model.floors[i] = slack * np.quantile(own, 0.01)
     return model
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, a_language: int, at_most: int = 6000) -> list[tuple[str, np.ndarray]]:
-    """The training sample: about `a_language` labelled rows of each language, chosen by a hash of the id,
-    and fewer of each where the languages are so many that this would exceed `at_most` in all.
+@dataclass
+class Sample:
+    """Languages of documents and the counts of their n-grams, a row for each document."""
+
+    languages: list[str]
+    counts: np.ndarray
+
+
+def labelled_sample(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, a_language: int, at_most: int = 6000, most_languages: int = 500
+) -> Sample:
+    """The training sample: about `a_language` labelled rows of each language, chosen by a hash of the id and the
+    text, and fewer of each where the languages are so many that this would exceed `at_most` in all.
 
-    Only labels are counted first; a row's chance is then a_language over its language's rows. Texts with
-    no letter teach nothing. The vectors that reach the driver are bounded by a_language for each language."""
+    Only labels are counted first; a row's chance is then a_language over its language's rows. Learned are the
+    `most_languages` labels with the most rows, which a real set of languages stays below. Texts with no letter
+    teach nothing. What reaches the driver is bounded: 2 * at_most vectors of at most 48 KB."""
     bounded_batches(docs)
     fold = ~F.coalesce(held_out(F.col(id_col)), F.lit(False))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & fold)
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
-        return []
+        return Sample([], np.zeros((0, DIMS), np.float32))
     a_language = min(a_language, at_most / len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, a_language / n))])
-    chance = F.crc32(F.concat_ws("|", F.lit("sample"), F.col(id_col).cast("string")).cast("binary")) / float(1 << 32)
-    chosen = known.where(chance < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, a_language / r["count"])) for r in counts], "lang string, share double")
+    chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("chance"))
+    chosen = chosen.join(F.broadcast(shares), "lang").where("chance < share").select("lang", "text")
 
     def features(batches):
         for batch in batches:
             langs, slots, counted = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _LETTER.search(text):
+                if has_letter(text):
                     c = ngram_counts(text.encode("utf-8", "replace"))
                     at = np.flatnonzero(c)
                     langs.append(lang)
@@ -112,17 +127,16 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                     counted.append(c[at].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.binary()), pa.array(counted, pa.binary())], ["lang", "slots", "counted"])
 
-    out = []
-    for r in chosen.mapInArrow(features, "lang string, slots binary, counted binary").orderBy("lang", "slots", "counted").collect():
-        c = np.zeros(DIMS, np.float32)
-        c[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["counted"], np.float32)
-        out.append((r["lang"], c))
-    return out
+    rows = chosen.mapInArrow(features, "lang string, slots binary, counted binary").orderBy("lang", "slots", "counted").limit(2 * at_most).collect()
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        out[i, np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["counted"], np.float32)
+    return Sample([r["lang"] for r in rows], out)
 
 
 def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
     """Languages, cosines and rejections of texts."""
-    lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+    lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
     lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     for begin in range(0, len(lettered), 256):
         part = lettered[begin : begin + 256]
@@ -138,11 +152,13 @@ def identify_languages(
     """(id, held_out, lang_pred, score, rejected) for every row of docs.
 
     The centroids are fitted on a sample of about `a_language` labelled rows a language outside held_out (a
-    column over the id; null: nothing is held out), and broadcast: clusters * DIMS floats a language.
+    column over the id; null: nothing is held out; see labelled_sample for its bounds), and broadcast:
+    clusters * DIMS floats a language.
     lang_pred is the language of the nearest centroid by cosine, score that cosine; a text that is null or
     has no letter gets und and score 0. rejected: und, or farther from every centroid than the nearest
     language's floor allows. Where no labelled row exists everything is und. Predictions use the text alone;
-    repeated rows each give a row; an empty table gives none. Texts are read whole and never shuffled."""
+    repeated rows and rows with a null id each give a row; an empty table gives none; other columns are not
+    read. Texts are read whole and never shuffled."""
     held_out = held_out or (lambda i: F.lit(False))
     model = fit(labelled_sample(docs, id_col, text_col, lang_col, held_out, a_language), clusters, slack)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -157,7 +173,10 @@ def identify_languages(
 
 
 def keep_identified(docs: DataFrame, a_language: int = 400, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with their columns, that identify_languages doesn't reject; nothing is held out."""
+    """The rows of docs, with their columns, that identify_languages doesn't reject; nothing is held out.
+
+    Null and empty texts and those without a letter go. Repeated rows and rows with a null id are decided each;
+    an empty table gives no rows; columns may have any names."""
     model = fit(labelled_sample(docs, id_col, text_col, lang_col, lambda i: F.lit(False), a_language), clusters, slack)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
