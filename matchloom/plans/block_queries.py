@@ -86,10 +86,32 @@ def _tsv(spark, d):
     return path
 
 
-@query(S.with_(BIZ) + "SELECT entity_id, business_name, business_address, trim(country) AS country, source FROM biz")
+#: Values that a separated file can lose: tabs, quotes, line breaks, blanks at the ends, a quote at the start.
+_AWKWARD = [
+    ("a\tb", "'a' || chr(9) || 'b'"), ('"quoted" start', "'\"quoted\" start'"), ('in "the" middle', "'in \"the\" middle'"), ('"', "'\"'"), ("two\nlines", "'two' || chr(10) || 'lines'"),
+    ('"\t"\n', "'\"' || chr(9) || '\"' || chr(10)"), ("  blanks  ", "'  blanks  '"), ("", "''"), ("back\\slash", "'back\\slash'"),
+]
+_AWKWARD_SQL = "awkward AS (SELECT * FROM (VALUES {}) v(n, x))".format(", ".join(f"({i}, {x})" for i, (_, x) in enumerate(_AWKWARD)))
+_RECORDS_SQL = S.with_(BIZ, _AWKWARD_SQL) + (
+    f"SELECT entity_id, CASE WHEN n IS NULL THEN business_name ELSE x END AS business_name, CASE WHEN n IS NULL THEN business_address ELSE x || '|' || business_address END AS business_address, "
+    f"trim(country) AS country, source FROM biz LEFT JOIN awkward ON substring(entity_id, 4)::BIGINT % {3 * len(_AWKWARD)} = n"
+)
+
+
+def _awkward(spark, d):
+    """The business records, a third of them with an awkward value."""
+    own = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(_AWKWARD)], "n int, x string")
+    rows = biz(spark, d).withColumn("n", (F.substring("entity_id", 4, 20).cast("long") % (3 * len(_AWKWARD))).cast("int")).join(F.broadcast(own), "n", "left")
+    put = F.col("x").isNotNull()
+    return rows.withColumns({"business_name": F.when(put, F.col("x")).otherwise(F.col("business_name")), "business_address": F.when(put, F.concat("x", F.lit("|"), "business_address")).otherwise(F.col("business_address"))})
+
+
+@query(_RECORDS_SQL)
 def A1_tsv_scan(spark, d):
-    """Records written as tab-separated text and read again, as strings with empties kept."""
-    return tables.read_records(spark, _tsv(spark, d)).withColumn("country", F.trim("country"))
+    """Records with tabs, quotes and line breaks written as tab-separated text and read again, empties kept."""
+    path = folder(spark)
+    sinks.write_tsv(_awkward(spark, d).select(*tables.RECORD), path)
+    return tables.read_records(spark, path, multi_line=True).withColumn("country", F.trim("country"))
 
 
 @query("SELECT concat('S1-', p_partkey) AS entity_id, concat(p_partkey) AS business_name, '' AS business_address, concat(p_size) AS country FROM part")

@@ -18,18 +18,19 @@ def strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, keep_nulls: bool = False) -> DataFrame:
-    """Every column a string, quotes doubled, lines inside quotes; missing values empty unless keep_nulls.
+def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, keep_nulls: bool = False, multi_line: bool = False) -> DataFrame:
+    """Every column a string, quotes doubled; missing values empty unless keep_nulls.
 
-    Partitions stand in for chunks, and a later select prunes the columns that are read."""
-    reader = spark.read.schema(strings(columns or RECORD)).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    A file is split among tasks, which stand in for chunks, and a later select prunes the columns that are read.
+    multi_line: values may hold line breaks; a file is then read by one task."""
+    reader = spark.read.schema(strings(columns or RECORD)).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     df = reader.csv(path)
     return df if keep_nulls else df.na.fill("")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Source records with their source, which the id's prefix names."""
-    return read_tsv(spark, path).withColumn("source", F.substring("entity_id", 1, 2))
+    return read_tsv(spark, path, multi_line=multi_line).withColumn("source", F.substring("entity_id", 1, 2))
 
 
 def head(df: DataFrame, n: int, by: str = "entity_id") -> DataFrame:
@@ -74,11 +75,14 @@ def truth_pairs(df: DataFrame) -> DataFrame:
     return long.withColumn("target_source", tokens.source_tag(F.col("matched_entity_id")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """The Parquet table at path, made and written first if it isn't there."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.operators import submission
 from matchloom.plans import linkage
@@ -39,8 +40,8 @@ def test_linkage(spark, files, tmp_path):
     settings = linkage.Settings(train_share=0.7, max_iter=5, max_depth=3)
     metrics = linkage.run(spark, [str(files / f"{s}.tsv") for s in ("S1", "S2", "S3")], str(files / "truth.tsv"), str(tmp_path / "out"), settings)
     assert metrics["macro_f05"] > 0.8 and metrics["pairs"]["precision"] > 0.8
-    sinks.write_json(metrics, str(tmp_path / "metrics.json"))
-    assert json.loads((tmp_path / "metrics.json").read_text()) == metrics
+    sinks.write_json(spark, metrics, str(tmp_path / "metrics.json"))
+    assert json.loads((tmp_path / "metrics.json").read_text()) == metrics == sinks.read_json(spark, str(tmp_path / "metrics.json"))
     matches = tables.read_tsv(spark, str(tmp_path / "out/matching_results"), tables.TRUTH)
     candidates = tables.read_tsv(spark, str(tmp_path / "out/candidate_pairs"), ["source1_entity_id", "candidate_entity_ids"])
     records = [tables.read_records(spark, str(files / f"{s}.tsv")) for s in ("S1", "S2", "S3")]
@@ -68,6 +69,19 @@ def test_tsv_details(spark, files, tmp_path):
     assert tables.schema_differences(s2.drop("country"), tables.RECORD) == {"missing": ["country"], "extra": ["source"]}
 
 
+def test_awkward_values(spark, tmp_path):
+    values = ["a\tb", '"start', 'in "the" middle', '"', '""', "two\nlines", '\t"\n"', "  blanks ", "", "\\", '\\"', "r\rn", "a\r\nb", "'", "#", "é", "\u2028"]
+    rows = [(f"S1-{i}", v, v + "x", "US") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, tables.strings(tables.RECORD)).coalesce(1)
+    sinks.write_tsv(df, str(tmp_path / "t"))
+    got = {r.entity_id: (r.business_name, r.business_address) for r in tables.read_tsv(spark, str(tmp_path / "t"), multi_line=True).collect()}
+    assert got == {i: (v, x) for i, v, x, _ in rows}
+    plain = df.where(~F.col("business_name").rlike("[\\r\\n]"))
+    sinks.write_tsv(plain, str(tmp_path / "p"))
+    got = {r.entity_id: r.business_name for r in tables.read_tsv(spark, str(tmp_path / "p")).collect()}
+    assert got == {r.entity_id: r.business_name for r in plain.collect()}
+
+
 def test_cached_and_found(spark, tmp_path, monkeypatch):
     made = []
     make = lambda: made.append(1) or spark.range(3)
