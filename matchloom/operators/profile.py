@@ -16,14 +16,28 @@ def block_sizes(keys: DataFrame, by=("rule",)) -> DataFrame:
     return keys.groupBy(*by, "key").agg(F.count("*").alias("size"))
 
 
+def _with_zeros(found: DataFrame, keys: DataFrame, by: list[str], fills: dict) -> DataFrame:
+    """found, and a row of `fills` for each combination of the keys' sources (but the first) and rules that it lacks.
+
+    Sources and rules are a handful; what a rule gives nothing for belongs in a report as much as the rest."""
+    seen = keys.agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.array_sort(F.collect_set("source")).alias("sources"))
+    every = seen.select(F.explode("rules").alias("rule"), "sources")
+    if by != ["rule"]:
+        every = every.select("rule", F.explode("sources").alias(by[0]))
+        if by[0] == "target":
+            every = every.where("target <> 'S1'")
+    return every.select(*by).join(found, by, "left").na.fill(fills)
+
+
 def block_statistics(keys: DataFrame, by=("rule",)) -> DataFrame:
-    """Number and sizes of blocks; percentiles interpolate."""
+    """Number and sizes of blocks; percentiles interpolate. A rule without blocks in a source has zeros."""
     sizes = block_sizes(keys, by)
-    return sizes.groupBy(*by).agg(
+    found = sizes.groupBy(*by).agg(
         F.count("*").alias("blocks"), F.sum("size").alias("rows_in_blocks"), F.round(F.avg("size"), 6).alias("mean"), F.percentile("size", F.lit(0.5)).alias("median"),
         *[F.round(F.percentile("size", F.lit(p)), 6).alias(n) for n, p in PERCENTILES.items()], F.max("size").alias("max"),
         F.count_if(F.col("size") > 100).alias("blocks_gt_100"), F.count_if(F.col("size") > 1000).alias("blocks_gt_1000"),
     )
+    return _with_zeros(found, keys, list(by), {c: 0 for c in found.columns if c not in by}).select(*found.columns)
 
 
 def estimated_pairs(keys: DataFrame, left: str = "S1") -> DataFrame:
@@ -32,26 +46,31 @@ def estimated_pairs(keys: DataFrame, left: str = "S1") -> DataFrame:
     a, b = s.groupBy("rule", "key").agg(F.count("*").alias("m")), t.groupBy("target", "rule", "key").agg(F.count("*").alias("n"))
     total = s.select("s1_id").distinct().agg(F.count("*").alias("entities"))
     pairs = b.join(a, ["rule", "key"]).groupBy("target", "rule").agg(F.sum(F.col("m") * F.col("n")).alias("candidate_pairs"))
-    return pairs.join(F.broadcast(total)).select("target", "rule", "candidate_pairs", F.round(F.col("candidate_pairs") / F.col("entities"), 6).alias("avg_candidates_per_s1"))
+    pairs = _with_zeros(pairs, keys, ["target", "rule"], {"candidate_pairs": 0})
+    mean = F.when(F.col("entities") > 0, F.round(F.col("candidate_pairs") / F.col("entities"), 6)).otherwise(0.0)
+    return pairs.join(F.broadcast(total)).select("target", "rule", "candidate_pairs", mean.alias("avg_candidates_per_s1"))
 
 
 def recall_by_rule(truth: DataFrame, keys: DataFrame) -> DataFrame:
-    """Of the true pairs, how many share each rule's key; candidates are never made."""
+    """Of the true pairs, how many share each rule's key; candidates are never made. A rule that
+    recovers none of a target's pairs has a row with 0."""
     pairs = truth.select("source1_entity_id", "matched_entity_id", tokens.source_tag(F.col("matched_entity_id")).alias("target"))
     a = keys.select(F.col(ID).alias("source1_entity_id"), "rule", "key")
     b = keys.select(F.col(ID).alias("matched_entity_id"), F.col("rule"), F.col("key"))
     hits = pairs.join(a, "source1_entity_id").join(b, ["matched_entity_id", "rule", "key"]).groupBy("target", "rule").agg(F.count("*").alias("recovered_pairs"))
+    hits = _with_zeros(hits, keys, ["target", "rule"], {"recovered_pairs": 0})
     total = pairs.groupBy("target").agg(F.count("*").alias("total_true_pairs"))
     return hits.join(F.broadcast(total), "target").select("target", "rule", "total_true_pairs", "recovered_pairs", F.round(100 * F.col("recovered_pairs") / F.col("total_true_pairs"), 6).alias("pair_recall"))
 
 
 def recall_by_entity(truth: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each rule the entities all of whose true pairs share its key."""
+    """For each rule the entities all of whose true pairs share its key, 0 where there are none."""
     a = keys.select(F.col(ID).alias("source1_entity_id"), "rule", "key")
     b = keys.select(F.col(ID).alias("matched_entity_id"), F.col("rule"), F.col("key"))
     hits = truth.join(a, "source1_entity_id").join(b, ["matched_entity_id", "rule", "key"]).groupBy("rule", "source1_entity_id").agg(F.count("*").alias("hits"))
     need = truth.groupBy("source1_entity_id").agg(F.count("*").alias("need"))
     whole = hits.join(need, "source1_entity_id").groupBy("rule").agg(F.count_if(F.col("hits") == F.col("need")).alias("fully_recovered_entities"))
+    whole = _with_zeros(whole, keys, ["rule"], {"fully_recovered_entities": 0})
     total = need.agg(F.count("*").alias("non_singleton_entities"))
     return whole.join(F.broadcast(total)).select("rule", "non_singleton_entities", "fully_recovered_entities", F.round(100 * F.col("fully_recovered_entities") / F.col("non_singleton_entities"), 6).alias("full_entity_recall"))
 

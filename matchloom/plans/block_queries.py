@@ -198,17 +198,45 @@ def G1_engineered(spark, d):
     return _eng(spark, d).select("entity_id", "name_norm", "address_norm", "name_core", "numbers", "postal", "name_first", "name_last", "name_chars", "name_prefix4", "name_prefix6", F.array_join("name_tokens", " ").alias("name_tokens"))
 
 
-_TRANS = S.without_null_like(S.clean("business_name"))
-_BUILD = f"""
-bld1 AS (SELECT *, {S.suffixless(S.expanded(_TRANS, D.EXPAND_KEYS))} AS core FROM ent),
-bld AS (SELECT entity_id, source, {S.country('country')} AS c, core, regexp_replace(core, '[^a-z0-9]', '', 'g') AS compact,
-  array_to_string(list_sort(list_transform(list_slice(list_sort(list_transform(list_filter({S.tokens('core')}, lambda z: length(z) >= 3 AND NOT regexp_full_match(z, '\\d+')), lambda z: {{'n': -length(z), 't': z}})), 1, 2), lambda z: z.t)), '|') AS pair FROM bld1)"""
-_BKEYS = "\nbkeys AS ({})".format(S.long_keys("bld", {r: S.cleared(k) for r, k in {"block_postal_name4": "c || '|' || '' || '|' || substring(compact, 1, 4)", "block_name_prefix6": "c || '|' || substring(compact, 1, 6)", "block_name_exact": "c || '|' || core", "block_token_pair": "c || '|' || pair", "block_postal": "c || '|'"}.items()}))
+#: The records' two names in Indic scripts, as romanised.
+_ROMAN = {"इंडो फूड": "imddo phuudd", "ಕರ್ನಾಟಕ": "krnaattk"}
+
 
+def _roman(x: str) -> str:
+    for a, b in _ROMAN.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
 
-@query(S.with_(ENT, _BUILD) + "SELECT entity_id, core AS name_core, compact AS name_compact, pair AS name_token_pair FROM bld")
+
+_TRANS = S.without_null_like(S.clean(_roman("business_name")))
+_LONGEST = f"list_transform(list_slice(list_sort(list_transform(list_filter({S.tokens('core')}, lambda z: length(z) >= 3 AND NOT regexp_full_match(z, '\\d+')), lambda z: {{'n': -length(z), 't': z}})), 1, 2), lambda z: z.t)"
+_RAW_POSTAL = """CASE WHEN c IN ('INDIA', 'IN') THEN coalesce(list_extract(list_filter(regexp_extract_all(business_address, '\\d+'), lambda z: length(z) = 6), -1), '')
+  WHEN c IN ('US', 'USA') THEN coalesce(list_extract(list_filter(regexp_extract_all(business_address, '\\d+(?:-\\d+)?'), lambda z: regexp_full_match(z, '\\d{5}(-\\d{4})?')), -1), '') ELSE '' END"""
+_BUILT = {
+    "block_postal_name4": "c || '|' || postal_code || '|' || substring(compact, 1, 4)", "block_name_prefix6": "c || '|' || substring(compact, 1, 6)", "block_name_exact": "c || '|' || core",
+    "block_token_pair": "c || '|' || pair", "block_postal": "c || '|' || postal_code",
+}
+_BUILD = f"""
+bld0 AS (SELECT *, {S.country('country')} AS c, {_TRANS} AS name_translit, {S.without_null_like(S.clean(_roman('business_address')))} AS address_translit FROM <t>),
+bld1 AS (SELECT *, {S.expanded('name_translit', D.EXPAND_KEYS)} AS name_expanded, {S.expanded('address_translit', D.EXPAND_KEYS)} AS address_expanded FROM bld0),
+bld2 AS (SELECT *, {S.suffixless('name_expanded')} AS core FROM bld1),
+bld AS (SELECT *, regexp_replace(core, '[^a-z0-9]', '', 'g') AS compact, array_to_string(list_sort({_LONGEST}), '|') AS pair, {_RAW_POSTAL} AS postal_code FROM bld2)"""
+_BKEYS = "\nbkeys AS ({})".format(S.long_keys("bld", {r: S.cleared(k) for r, k in _BUILT.items()}))
+_KEY_COLUMNS = "entity_id source country name_script address_script name_translit address_translit postal_code name_expanded address_expanded name_core name_compact name_exact name_token_pair name_prefix4 name_prefix6".split()
+
+
+@query(
+    S.with_(BIZ, _BUILD.replace("<t>", "biz"))
+    + "SELECT entity_id, source, c AS country, {} AS name_script, {} AS address_script, name_translit, address_translit, postal_code, name_expanded, address_expanded, core AS name_core, ".format(
+        *(S.script(x, D.SCRIPTS, "OTHER", True) for x in ("business_name", "business_address"))
+    )
+    + "compact AS name_compact, core AS name_exact, pair AS name_token_pair, substring(compact, 1, 4) AS name_prefix4, substring(compact, 1, 6) AS name_prefix6, "
+    + ", ".join(f"{S.cleared(k)} AS {r}" for r, k in _BUILT.items())
+    + " FROM bld"
+)
 def G2_key_features(spark, d):
-    return keys.key_features(ent(spark, d)).select("entity_id", "name_core", "name_compact", "name_token_pair")
+    """Every column of the key file."""
+    return keys.key_features(biz(spark, d)).select(*_KEY_COLUMNS, *_BUILT)
 
 
 @query(S.with_(ENT, PIPE) + "SELECT entity_id, name_norm, addr_norm, postal, name_prefix, name_prefix_p, array_to_string(list_sort(name_tokens), ' ') AS name_tokens FROM pipe")
@@ -216,9 +244,18 @@ def G3_pipeline_records(spark, d):
     return _pipe(spark, d).select("entity_id", "name_norm", "addr_norm", "postal", "name_prefix", "name_prefix_p", F.array_join(F.array_sort("name_tokens"), " ").alias("name_tokens"))
 
 
-@query(S.with_(ENT) + f"SELECT entity_id, trim({S.words_folded('business_name')} || ' ' || {S.words_folded('business_address')}) AS merged_norm, trim({S.expanded(S.words_folded('business_name'), D.EXPAND_PROFILE)} || ' ' || {S.expanded(S.words_folded('business_address'), D.EXPAND_PROFILE)}) AS merged_expanded FROM ent")
+_KINDS = {
+    "norm": S.words_folded, "expanded": lambda x: S.expanded(S.words_folded(x), D.EXPAND_PROFILE), "translit": lambda x: S.fold(_roman(x)),
+}
+
+
+@query(
+    S.with_(BIZ, "made AS (SELECT entity_id, {} FROM biz)".format(", ".join(f"{make(f'business_{f}')} AS {f}_{kind}" for kind, make in _KINDS.items() for f in ("name", "address"))))
+    + "SELECT *, {} FROM made".format(", ".join(f"trim(name_{kind} || ' ' || address_{kind}) AS merged_{kind}" for kind in _KINDS))
+)
 def C17_text_features(spark, d):
-    return keys.text_features(ent(spark, d)).select("entity_id", "merged_norm", "merged_expanded")
+    """All nine texts."""
+    return keys.text_features(biz(spark, d)).select("entity_id", *[f"{f}_{kind}" for kind in _KINDS for f in ("name", "address", "merged")])
 
 
 @query(S.with_(ENT, ENG, KEYS) + "SELECT entity_id, rule, key FROM keys")
@@ -226,9 +263,10 @@ def F1_keys_v1(spark, d):
     return _keys(spark, d).select("entity_id", "rule", "key")
 
 
-@query(S.with_(ENT, _BUILD, _BKEYS) + "SELECT entity_id, rule, key FROM bkeys")
+@query(S.with_(BIZ, _BUILD.replace("<t>", "biz"), _BKEYS) + "SELECT entity_id, source, rule, key FROM bkeys")
 def F2_keys_builder(spark, d):
-    return keys.keys_builder(keys.key_features(ent(spark, d)).withColumn("postal_code", F.lit("")).withColumns({"block_postal_name4": keys.cleared(F.concat_ws("|", "country", F.lit(""), "name_prefix4")), "block_postal": F.lit("")})).select("entity_id", "rule", "key")
+    """All five rules, on records that have postal codes of two countries."""
+    return keys.keys_builder(keys.key_features(biz(spark, d)))
 
 
 @query(S.with_(ENT, MAT, MKEYS) + "SELECT entity_id, rule, key FROM mkeys")
@@ -326,7 +364,9 @@ def G12_constants(spark, d):
 
 @query(S.with_(ENT, ENG, KEYS) + "SELECT rule, count(*) AS pairs FROM keys a JOIN keys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY rule")
 def H1_index_probe(spark, d):
-    return blocking.pairs_with_rules(_keys(spark, d)).groupBy("rule").agg(F.count("*").alias("pairs"))
+    """Pairs of each rule from the sizes of its lists, as no pair is needed to count them."""
+    n = lambda source, c: _keys(spark, d).where(source).groupBy("rule", "key").agg(F.count("*").alias(c))
+    return n("source = 'S1'", "m").join(n("source <> 'S1'", "n"), ["rule", "key"]).groupBy("rule").agg(F.sum(F.col("m") * F.col("n")).alias("pairs"))
 
 
 _CAND = """,
@@ -386,15 +426,22 @@ def H7_block_counts(spark, d):
     return n("S1", "m").join(n("S2", "n"), "key").select("key", "m", "n", (F.col("m") * F.col("n")).alias("pairs"))
 
 
-_STAT = "SELECT source, rule, count(*) AS blocks, sum(n)::BIGINT AS rows_in_blocks, round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS max, count(*) FILTER (WHERE n > 100) AS blocks_gt_100, count(*) FILTER (WHERE n > 1000) AS blocks_gt_1000 FROM (SELECT source, rule, key, count(*) AS n FROM keys GROUP BY ALL) GROUP BY source, rule"
+_RULE_SOURCES = "rs AS (SELECT * FROM (SELECT DISTINCT rule FROM keys), (SELECT DISTINCT source FROM keys))"
+_STAT = """, rs AS (SELECT * FROM (SELECT DISTINCT rule FROM keys), (SELECT DISTINCT source FROM keys)), bs AS (SELECT source, rule, key, count(*) AS n FROM keys GROUP BY ALL)
+SELECT source, rule, count(n) AS blocks, coalesce(sum(n), 0)::BIGINT AS rows_in_blocks, coalesce(round(avg(n), 6), 0) AS mean, coalesce(quantile_cont(n, 0.5), 0)::DOUBLE AS median,
+  coalesce(round(quantile_cont(n, 0.9), 6), 0) AS p90, coalesce(round(quantile_cont(n, 0.95), 6), 0) AS p95, coalesce(round(quantile_cont(n, 0.99), 6), 0) AS p99, coalesce(max(n), 0) AS max,
+  count(*) FILTER (WHERE n > 100) AS blocks_gt_100, count(*) FILTER (WHERE n > 1000) AS blocks_gt_1000 FROM rs LEFT JOIN bs USING (source, rule) GROUP BY source, rule"""
 _EST = """ap AS (SELECT rule, key, count(*) AS m FROM keys WHERE source = 'S1' GROUP BY ALL), bp AS (SELECT source AS target, rule, key, count(*) AS n FROM keys WHERE source <> 'S1' GROUP BY ALL),
-est AS (SELECT target, rule, sum(m * n)::BIGINT AS candidate_pairs, round(sum(m * n) / (SELECT count(DISTINCT entity_id) FROM keys WHERE source = 'S1'), 6) AS avg_candidates_per_s1 FROM ap JOIN bp USING (rule, key) GROUP BY ALL)"""
-_REC = """hits AS (SELECT left(matched_entity_id, 2) AS target, a.rule AS rule, count(*) AS recovered_pairs FROM gt JOIN keys a ON a.entity_id = source1_entity_id JOIN keys b ON b.entity_id = matched_entity_id AND a.rule = b.rule AND a.key = b.key GROUP BY ALL),
+ep AS (SELECT target, rule, sum(m * n)::BIGINT AS c FROM ap JOIN bp USING (rule, key) GROUP BY ALL),
+est AS (SELECT source AS target, rule, coalesce(c, 0) AS candidate_pairs, round(coalesce(c, 0) / (SELECT count(DISTINCT entity_id) FROM keys WHERE source = 'S1'), 6) AS avg_candidates_per_s1
+  FROM rs LEFT JOIN ep ON ep.target = rs.source AND ep.rule = rs.rule WHERE source <> 'S1')""".replace("source AS target, rule, coalesce", "source AS target, rs.rule AS rule, coalesce")
+_REC = """hits AS (SELECT left(matched_entity_id, 2) AS target, a.rule AS rule, count(*) AS n FROM gt JOIN keys a ON a.entity_id = source1_entity_id JOIN keys b ON b.entity_id = matched_entity_id AND a.rule = b.rule AND a.key = b.key GROUP BY ALL),
 tot AS (SELECT left(matched_entity_id, 2) AS target, count(*) AS total_true_pairs FROM gt GROUP BY ALL),
-rec AS (SELECT target, rule, total_true_pairs, recovered_pairs, round(100 * recovered_pairs / total_true_pairs, 6) AS pair_recall FROM hits JOIN tot USING (target))"""
+rec AS (SELECT tot.target AS target, rs.rule AS rule, total_true_pairs, coalesce(n, 0) AS recovered_pairs, round(100 * coalesce(n, 0) / total_true_pairs, 6) AS pair_recall
+  FROM rs JOIN tot ON tot.target = rs.source LEFT JOIN hits ON hits.target = rs.source AND hits.rule = rs.rule)"""
 
 
-@query(S.with_(ENT, ENG, KEYS, GT, _EST, _REC) + "SELECT target, rule, pair_recall, candidate_pairs, avg_candidates_per_s1 FROM rec LEFT JOIN est USING (target, rule)")
+@query(S.with_(ENT, ENG, KEYS, GT, _RULE_SOURCES, _EST, _REC) + "SELECT target, rule, pair_recall, candidate_pairs, avg_candidates_per_s1 FROM rec LEFT JOIN est USING (target, rule)")
 def H8_report_join(spark, d):
     k = _keys(spark, d)
     return profile.recall_by_rule(gt(spark, d), k).join(profile.estimated_pairs(k), ["target", "rule"], "left").select("target", "rule", "pair_recall", "candidate_pairs", "avg_candidates_per_s1")
@@ -440,7 +487,7 @@ def I2_block_size_stats(spark, d):
     return profile.block_statistics(_mkeys(spark, d), ("source", "rule"))
 
 
-@query(S.with_(ENT, ENG, KEYS, _EST) + "SELECT target, rule, candidate_pairs, avg_candidates_per_s1 FROM est")
+@query(S.with_(ENT, ENG, KEYS, _RULE_SOURCES, _EST) + "SELECT target, rule, candidate_pairs, avg_candidates_per_s1 FROM est")
 def I3_estimated_pairs(spark, d):
     return profile.estimated_pairs(_keys(spark, d))
 
@@ -455,12 +502,12 @@ def I5_country_consistency(spark, d):
     return profile.country_consistency(gt(spark, d), ent(spark, d))
 
 
-@query(S.with_(ENT, ENG, KEYS, GT, _REC) + "SELECT * FROM rec")
+@query(S.with_(ENT, ENG, KEYS, GT, _RULE_SOURCES, _REC) + "SELECT * FROM rec")
 def I6_rule_recall(spark, d):
     return profile.recall_by_rule(gt(spark, d), _keys(spark, d))
 
 
-@query(S.with_(ENT, ENG, KEYS, GT, _REC) + "SELECT target, rule, recovered_pairs, pair_recall FROM rec")
+@query(S.with_(ENT, ENG, KEYS, GT, _RULE_SOURCES, _REC) + "SELECT target, rule, recovered_pairs, pair_recall FROM rec")
 def B7_report_csv(spark, d):
     path = folder(spark)
     sinks.write_report(profile.recall_by_rule(gt(spark, d), _keys(spark, d)).select("target", "rule", "recovered_pairs", "pair_recall"), path)
@@ -468,7 +515,8 @@ def B7_report_csv(spark, d):
 
 
 @query(S.with_(ENT, ENG, KEYS, GT) + """, need AS (SELECT source1_entity_id, count(*) AS need FROM gt GROUP BY 1), h AS (SELECT a.rule AS rule, source1_entity_id, count(*) AS hits FROM gt JOIN keys a ON a.entity_id = source1_entity_id JOIN keys b ON b.entity_id = matched_entity_id AND a.rule = b.rule AND a.key = b.key GROUP BY ALL)
-SELECT rule, (SELECT count(*) FROM need) AS non_singleton_entities, count(*) FILTER (WHERE hits = need) AS fully_recovered_entities, round(100 * count(*) FILTER (WHERE hits = need) / (SELECT count(*) FROM need), 6) AS full_entity_recall FROM h JOIN need USING (source1_entity_id) GROUP BY rule""")
+SELECT rule, (SELECT count(*) FROM need) AS non_singleton_entities, count(*) FILTER (WHERE hits = need) AS fully_recovered_entities, round(100 * count(*) FILTER (WHERE hits = need) / (SELECT count(*) FROM need), 6) AS full_entity_recall
+FROM (SELECT DISTINCT rule FROM keys) r LEFT JOIN (SELECT * FROM h JOIN need USING (source1_entity_id)) x USING (rule) GROUP BY rule""")
 def I7_entity_recall(spark, d):
     return profile.recall_by_entity(gt(spark, d), _keys(spark, d))
 
