@@ -78,7 +78,7 @@ def flagged(pairs: DataFrame, rules: list[str]) -> DataFrame:
 def topk_candidates(keys: DataFrame, records: DataFrame, score, per_rule: int = 30, most: int = 100, left: str = "S1") -> DataFrame:
     """Stride-sampled target blocks, joined, distinct, scored, and the best `most` of each entity and source.
 
-    score: a function of two structs of record columns. The sample bounds every block to per_rule rows
+    score: a function of two structs of record columns; give records that hold only what it reads. The sample bounds every block to per_rule rows
     before the join, so a join row count is at most per_rule for each key of an entity."""
     s, t = sources(keys, left)
     t = stride_sample(t, ("rule", "target", "key"), F.col("cand_id"), per_rule)

@@ -19,6 +19,10 @@ def cheap_score(a: Column, b: Column) -> Column:
     return 0.40 * r("ratio", "name_norm") + 0.20 * r("token_set_ratio", "name_norm") + 0.25 * r("ratio", "address_norm") + 0.10 * r("token_set_ratio", "address_norm") + 0.05 * postal
 
 
+#: The record columns that jaccard_score reads; a join before the cut to the best pairs carries no others.
+JACCARD_COLUMNS = ["name_tokens", "address_tokens"]
+
+
 def jaccard_score(a: Column, b: Column) -> Column:
     """A score without character kernels: token sets of names and addresses."""
     return F.round(0.6 * sim.jaccard(a["name_tokens"], b["name_tokens"]) + 0.4 * sim.jaccard(a["address_tokens"], b["address_tokens"]), 6)

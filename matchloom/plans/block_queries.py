@@ -77,6 +77,18 @@ lists AS (SELECT e.entity_id AS source1_entity_id, list_sort(list_distinct(list_
   FROM ent e LEFT JOIN gt g ON e.entity_id = g.source1_entity_id WHERE e.source = 'S1' GROUP BY 1)"""
 
 
+def _faulty_lists(spark, d):
+    """The lists, some of them with a repeated id, an id without a source, or an unknown or missing entity."""
+    n = F.substring("source1_entity_id", 4, 20).cast("long")
+    rows = _all_lists(spark, d).withColumn("ids", F.when(n % 7 == 0, F.concat("ids", F.array(F.lit("S2-1"), F.lit("S2-1")))).when(n % 11 == 0, F.concat("ids", F.array(F.lit("X-9")))).otherwise(F.col("ids")))
+    return rows.withColumn("source1_entity_id", F.when(n % 13 == 0, F.concat(F.lit("S1-none"), "source1_entity_id")).when(n % 17 == 0, F.lit(None)).otherwise(F.col("source1_entity_id")))
+
+
+FAULTY = """
+faulty AS (SELECT CASE WHEN n % 13 = 0 THEN 'S1-none' || source1_entity_id WHEN n % 17 = 0 THEN NULL ELSE source1_entity_id END AS source1_entity_id,
+  CASE WHEN n % 7 = 0 THEN list_concat(ids, ['S2-1', 'S2-1']) WHEN n % 11 = 0 THEN list_append(ids, 'X-9') ELSE ids END AS ids FROM (SELECT *, substring(source1_entity_id, 4)::BIGINT AS n FROM lists))"""
+
+
 # Sources and sinks
 
 
@@ -604,11 +616,15 @@ def I21_match_patterns(spark, d):
     return profile.patterns(_all_lists(spark, d))
 
 
-@query(S.with_(ENT, GT, LISTS) + f"SELECT source1_entity_id, {_PAT} AS pattern, len(ids) <> len(list_distinct(ids)) AS repeats, true AS valid FROM lists")
+_VALID = "len(list_filter(ids, lambda z: NOT (prefix(z, 'S2-') OR prefix(z, 'S3-')))) = 0"
+
+
+@query(S.with_(ENT, GT, LISTS, FAULTY) + f"SELECT source1_entity_id, {_PAT} AS pattern, len(ids) <> len(list_distinct(ids)) AS repeats, {_VALID} AS valid FROM faulty")
 def D24_list_checks(spark, d):
-    """A list's pattern, repeats and prefixes."""
+    """A list's pattern, repeats and prefixes, with faulty lists among them."""
     n = lambda p: F.size(F.filter("ids", lambda x: x.startswith(p)))
-    return _all_lists(spark, d).select("source1_entity_id", tokens.match_pattern(n("S2-"), n("S3-")).alias("pattern"), tokens.has_repeats(F.col("ids")).alias("repeats"), tokens.prefixes_valid(F.col("ids")).alias("valid"))
+    checks = tokens.match_pattern(n("S2-"), n("S3-")).alias("pattern"), tokens.has_repeats(F.col("ids")).alias("repeats"), tokens.prefixes_valid(F.col("ids")).alias("valid")
+    return _faulty_lists(spark, d).select("source1_entity_id", *checks)
 
 
 @query(r"WITH r(s) AS (VALUES ('S2-1, S3-2,,S2-1'), (''), ('X-1'), (' S2-9 ')), l AS (SELECT s, list_filter(list_transform(string_split(s, ','), lambda z: trim(z)), lambda z: z <> '') AS ids FROM r) SELECT s, array_to_string(ids, ';') AS ids, len(ids) <> len(list_distinct(ids)) AS repeats, len(list_filter(ids, lambda z: NOT (prefix(z, 'S2-') OR prefix(z, 'S3-')))) = 0 AS valid FROM l")
@@ -622,9 +638,14 @@ def I22_describe(spark, d):
     return profile.described(_all_lists(spark, d), F.size("ids"))
 
 
-@query(S.with_(ENT, GT, LISTS) + "SELECT count(*) AS n_rows, count(DISTINCT source1_entity_id) AS unique_ids, count(*) FILTER (WHERE source1_entity_id IS NULL) AS null_ids, count(*) FILTER (WHERE len(ids) <> len(list_distinct(ids))) AS lists_with_repeats, 0::BIGINT AS bad_prefixes, (SELECT count(*) FROM lists WHERE source1_entity_id NOT IN (SELECT entity_id FROM ent)) AS orphans FROM lists")
+@query(
+    S.with_(ENT, GT, LISTS, FAULTY)
+    + f"""SELECT count(*) AS n_rows, count(DISTINCT source1_entity_id) AS unique_ids, count(*) FILTER (WHERE source1_entity_id IS NULL) AS null_ids,
+  count(*) FILTER (WHERE len(ids) <> len(list_distinct(ids))) AS lists_with_repeats, count(*) FILTER (WHERE NOT ({_VALID})) AS bad_prefixes,
+  count(*) FILTER (WHERE source1_entity_id IS NULL OR source1_entity_id NOT IN (SELECT entity_id FROM ent)) AS orphans FROM faulty"""
+)
 def I23_truth_integrity(spark, d):
-    return profile.truth_integrity(_all_lists(spark, d), ent(spark, d))
+    return profile.truth_integrity(_faulty_lists(spark, d), ent(spark, d))
 
 
 @query(S.with_(ENT, GT, LISTS) + "SELECT (SELECT count(*) FROM ent WHERE source = 'S1') AS s1_rows, (SELECT count(*) FROM ent WHERE source = 'S2') AS s2_rows, (SELECT count(*) FROM ent WHERE source = 'S3') AS s3_rows, (SELECT count(*) FROM lists WHERE len(ids) = 0) AS singletons, (SELECT round(avg(len(ids)), 6) FROM lists) AS mean_matches, (SELECT max(len(ids)) FROM lists) AS max_matches")
@@ -685,7 +706,7 @@ top AS (SELECT s1_id, cand_id, source, score FROM (SELECT *, row_number() OVER (
 
 
 def _top(spark, d):
-    return blocking.topk_candidates(_mkeys(spark, d), _mat(spark, d), features.jaccard_score, 30, 10)
+    return blocking.topk_candidates(_mkeys(spark, d), _mat(spark, d).select("entity_id", *features.JACCARD_COLUMNS), features.jaccard_score, 30, 10)
 
 
 @query(S.with_(ENT, MAT, MKEYS) + _TOPK + "SELECT * FROM top")

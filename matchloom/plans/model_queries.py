@@ -77,11 +77,17 @@ def L7_all_scores(spark, d):
     return _parts(spark, d).select("a", "b", sim.all_scores(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.*")
 
 
-@query(S.with_(ENT) + "SELECT entity_id, CASE WHEN business_address = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM ent")
+_SAFE_PAIRS = "pr AS (SELECT DISTINCT left(business_name, 30) AS a, left(business_address, 30) AS b FROM ent)"
+
+
+@query(
+    S.with_(ENT, _LCS.format(a="a", b="b").replace("pr AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part)", _SAFE_PAIRS))
+    + "SELECT pr.a, pr.b, CASE WHEN pr.a = '' OR pr.b = '' THEN 0.0::DOUBLE ELSE round(score / 100.0, 6) END AS score FROM pr LEFT JOIN res ON pr.a = res.a AND pr.b = res.b"
+)
 def L8_safe_ratio(spark, d):
-    """A text against itself: 1, but 0 where it is empty."""
-    a = F.col("business_address")
-    return ent(spark, d).select("entity_id", sim.safe("ratio", a, a).alias("score"))
+    """Name against address: 0 where one is empty."""
+    rows = ent(spark, d).select(F.left("business_name", F.lit(30)).alias("a"), F.left("business_address", F.lit(30)).alias("b")).distinct()
+    return rows.select("a", "b", F.round(sim.safe("ratio", F.col("a"), F.col("b")), 6).alias("score"))
 
 
 def _pairs(spark, d):
@@ -157,10 +163,20 @@ def N2_training_pairs(spark, d):
     return training.training_pairs(N1_positives(spark, d), _top(spark, d))
 
 
-@query(S.with_(ENT, ENG, KEYS, GT) + _CAND + ", l AS (SELECT s1_id, cand_id, CASE WHEN source1_entity_id IS NULL THEN 0 ELSE 1 END AS label FROM cand LEFT JOIN gt ON s1_id = source1_entity_id AND cand_id = matched_entity_id) SELECT label, least(count(*), CASE WHEN label = 1 THEN count(*) ELSE 8 * (SELECT count(*) FROM l WHERE label = 1) END) AS n FROM l GROUP BY label")
+_FRAME = ", l AS (SELECT s1_id, cand_id, CASE WHEN source1_entity_id IS NULL THEN 0 ELSE 1 END AS label FROM pp LEFT JOIN gt ON s1_id = source1_entity_id AND cand_id = matched_entity_id)"
+
+
+@query(
+    S.with_(ENT, PIPE, PKEYS, GT)
+    + ", pp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM pkeys a JOIN pkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule IN ('rule_exact_name', 'rule_prefix6'))"
+    + _FRAME
+    + """ SELECT s1_id, cand_id, label FROM l WHERE label = 1 UNION ALL SELECT s1_id, cand_id, label FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(s1_id || '|' || cand_id || '|42')) AS r FROM l WHERE label = 0) WHERE r <= 8 * (SELECT count(*) FROM l WHERE label = 1)"""
+)
 def N3_training_frame(spark, d):
-    pairs = blocking.candidates(keys.keys_v1(keys.engineered(ent(spark, d))), 100)
-    return training.training_frame(pairs, gt(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+    """Every labelled row of the training frame."""
+    pairs = blocking.pairs_with_rules(_pkeys(spark, d).where("rule IN ('rule_exact_name', 'rule_prefix6')")).select("s1_id", "cand_id").distinct()
+    return training.training_frame(pairs, gt(spark, d)).select("s1_id", "cand_id", "label")
 
 
 FEATURES = ["name_exact", "name_tok_jaccard", "name_tok_contain", "addr_tok_jaccard", "addr_tok_contain", "addr_num_overlap", "postal_match", "country_match"]
@@ -318,10 +334,28 @@ def B6_candidate_dump(spark, d):
     return _top(spark, d).select("s1_id", "cand_id", "source")
 
 
-@query("SELECT * FROM (VALUES ('missing_entity', 0), ('unknown_entity', 0), ('repeated_entity', 0), ('repeated_id', 0), ('bad_prefix', 0), ('unknown_id', 0), ('not_a_candidate', 0)) v(rule, violations)")
+_N = "substring(source1_entity_id, 4)::BIGINT"
+_CHECKED = f""", fl AS (SELECT CASE WHEN n % 13 = 0 THEN 'S1-none' || source1_entity_id WHEN n % 17 = 0 THEN 'S1-0' ELSE source1_entity_id END AS source1_entity_id,
+  CASE WHEN n % 7 = 0 THEN matched_entity_ids || ',S2-1,S2-1' WHEN n % 11 = 0 THEN matched_entity_ids || ',X-9' ELSE matched_entity_ids END AS s FROM (SELECT *, {_N} AS n FROM ml)),
+own AS (SELECT source1_entity_id, list_filter(list_transform(string_split(s, ','), lambda z: trim(z)), lambda z: z <> '') AS ids FROM fl),
+lng AS (SELECT source1_entity_id, unnest(ids) AS id FROM own), s1 AS (SELECT entity_id FROM ent WHERE source = 'S1'),
+off AS (SELECT DISTINCT s1_id, cand_id FROM top)
+SELECT 'missing_entity' AS rule, count(*) AS violations FROM s1 WHERE entity_id NOT IN (SELECT source1_entity_id FROM own)
+UNION ALL SELECT 'unknown_entity', count(*) FROM own WHERE source1_entity_id NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'repeated_entity', count(*) FROM (SELECT 1 FROM own GROUP BY source1_entity_id HAVING count(*) > 1)
+UNION ALL SELECT 'repeated_id', count(*) FROM own WHERE len(ids) <> len(list_distinct(ids))
+UNION ALL SELECT 'bad_prefix', count(*) FROM own WHERE len(list_filter(ids, lambda z: NOT (prefix(z, 'S2-') OR prefix(z, 'S3-')))) > 0
+UNION ALL SELECT 'unknown_id', count(*) FROM lng WHERE id NOT IN (SELECT entity_id FROM ent WHERE source <> 'S1')
+UNION ALL SELECT 'not_a_candidate', count(*) FROM lng WHERE NOT EXISTS (SELECT 1 FROM off WHERE s1_id = source1_entity_id AND cand_id = id)"""
+
+
+@query(S.with_(ENT, MAT, MKEYS) + _TOPK + _ML + _CHECKED)
 def P4_validator(spark, d):
-    targets = ent(spark, d).where("source <> 'S1'")
-    return submission.violations(P1_submission(spark, d), P2_ranked_candidates(spark, d), _s1(spark, d), targets)
+    """Lists with every kind of fault among them."""
+    n, ids = F.substring("source1_entity_id", 4, 20).cast("long"), F.col("matched_entity_ids")
+    lists = P1_submission(spark, d).withColumn("matched_entity_ids", F.when(n % 7 == 0, F.concat(ids, F.lit(",S2-1,S2-1"))).when(n % 11 == 0, F.concat(ids, F.lit(",X-9"))).otherwise(ids))
+    entity = F.when(n % 13 == 0, F.concat(F.lit("S1-none"), "source1_entity_id")).when(n % 17 == 0, F.lit("S1-0")).otherwise(F.col("source1_entity_id"))
+    return submission.violations(lists.withColumn("source1_entity_id", entity), P2_ranked_candidates(spark, d), _s1(spark, d), ent(spark, d).where("source <> 'S1'"))
 
 
 def queries():
