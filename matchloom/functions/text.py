@@ -25,6 +25,30 @@ _TABLE |= {ord(a): b for a, b in _LETTERS.items()}
 _TABLE |= {0x900 + 0x80 * block + 0x66 + digit: str(digit) for block in range(9) for digit in range(10)}
 
 
+#: Romanised letters of other alphabets, in the order of their alphabets; capitals follow from the small ones.
+_ALPHABETS = [
+    ("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґўј", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia io i yi ie g u j"),
+    ("αβγδεζηθικλμνξοπρςστυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o"),
+    ("ابتثجحخدذرزسشصضطظعغفقكلمنهويةىءآأؤإئپچژگ", "a b t th j h kh d dh r z s sh s d t z - gh f q k l m n h w y h a - a a w a y p ch zh g"),
+    ("אבגדהוזחטיךכלםמןנסעףפץצקרשת", "- b g d h v z h t y k k l m m n n s - p p ts ts q r sh t"),
+    ("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "a b g d e v z t i k l m n o p zh r s t u p k gh q sh ch ts dz ts ch kh j h"),
+]
+for _letters, _sounds in _ALPHABETS:
+    for _letter, _sound in zip(_letters, _sounds.split(), strict=True):
+        _sound = _sound.strip("-")
+        _TABLE[ord(_letter)] = _sound
+        if _letter.upper() != _letter and len(_letter.upper()) == 1:
+            _TABLE.setdefault(ord(_letter.upper()), _sound.capitalize())
+
+
+def _sound_of(c: str) -> str:
+    """Kana by the sound that its name ends with, digits of any script by their value, else the letter itself."""
+    name = unicodedata.name(c, "")
+    if name.startswith(("HIRAGANA LETTER ", "KATAKANA LETTER ")):
+        return name.rsplit(" ", 1)[1].lower()
+    return str(unicodedata.digit(c)) if unicodedata.category(c) == "Nd" else c
+
+
 def _texts(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
@@ -37,7 +61,8 @@ def _ascii(t: str) -> str:
     if t.isascii():
         return t
     t = unicodedata.normalize("NFKC", t).translate(_TABLE)
-    return "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn")
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn")
+    return t if t.isascii() else "".join(c if c.isascii() else _sound_of(c) for c in t).translate(_TABLE)
 
 
 def _each(make):
@@ -64,9 +89,10 @@ def casefold(column: Column) -> Column:
 
 
 def ascii_fold(column: Column) -> Column:
-    """Accents dropped, some letters spelt out, Brahmic scripts romanised by the layout of their blocks.
+    """Accents dropped, some letters spelt out, Brahmic scripts romanised by the layout of their blocks, Cyrillic, Greek,
+    Arabic, Hebrew and Georgian by their alphabets, kana by its names.
 
-    An approximation of transliteration: what it doesn't know stays as it is."""
+    An approximation of transliteration: what it doesn't know (Chinese characters among it) stays as it is."""
     return _fold(_texts(column))
 
 

@@ -40,14 +40,14 @@ class Linkage:
 def candidate_pairs(records: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
     """(s1_id, cand_id, source, score, a, b): each entity's best candidates with both records.
 
-    With a folder the normal records are written there once; else each of the joins makes them again."""
+    They are ranked by their token sets; character kernels meet only what is left. With a folder the normal
+    records are written there once; else each of the joins makes them again."""
     made = keys.matcher_features(records)
     if folder:
-        sinks.write_parquet(made, f"{folder}/records")
-        made = records.sparkSession.read.parquet(f"{folder}/records")
+        made = tables.cached(records.sparkSession, f"{folder}/records", lambda: keys.matcher_features(records))
     long = keys.keys_matcher(made, settings.country_in_key)
-    score = features.cheap_score if settings.kernels else features.jaccard_score
-    return blocking.with_records(blocking.topk_candidates(long, made, score, settings.per_rule, settings.candidates), made)
+    narrow = made.select("entity_id", *features.JACCARD_COLUMNS)
+    return blocking.with_records(blocking.topk_candidates(long, narrow, features.jaccard_score, settings.per_rule, settings.candidates), made)
 
 
 def pair_frame(pairs: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
@@ -55,27 +55,31 @@ def pair_frame(pairs: DataFrame, settings: Settings) -> tuple[DataFrame, list[st
     return pairs.select("s1_id", "cand_id", "source", F.col("score").alias("cheap"), *[c.cast("double").alias(n) for n, c in made.items()]), list(made)
 
 
-def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings | None = None) -> Linkage:
-    """Candidates once for every entity, trained on the one part of the entities, tuned on the other.
+def scored_frame(records: DataFrame, settings: Settings, folder: str | None) -> tuple[DataFrame, list[str]]:
+    """The candidates with their features, written to folder once, as every step after passes over them."""
+    frame, columns = pair_frame(candidate_pairs(records, settings, folder), settings)
+    return (tables.cached(records.sparkSession, f"{folder}/pairs", lambda: frame) if folder else frame), columns
+
 
-    The pairs with their features are written to folder, as fitting passes over them again and again."""
+def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings | None = None) -> Linkage:
+    """Candidates once for every entity, trained on the one part of the entities, tuned on the other."""
     s = settings or Settings()
-    frame, columns = pair_frame(candidate_pairs(records, s, folder), s)
-    sinks.write_parquet(frame, f"{folder}/pairs")
-    frame = records.sparkSession.read.parquet(f"{folder}/pairs")
+    spark = records.sparkSession
+    frame, columns = scored_frame(records, s, folder)
     own = training.hash_split(records.where("source = 'S1'").select("entity_id"), s.train_share, s.seed)
     train_ids, held_ids = own.where("is_train"), own.where("NOT is_train")
-    ranked = frame.select("s1_id", "cand_id", "source", F.col("cheap").alias("score"))
-    pos = training.positives(truth, train_ids, records)
-    chosen = training.training_pairs(pos, ranked, s.negatives_a_positive)
-    rows = frame.join(chosen.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
-    model = training.train(rows, columns, s.max_iter, s.max_depth)
-    held = training.scored(model, frame.join(held_ids.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi"))
-    held = blocking.labelled(held, truth)
-    sinks.write_parquet(held, f"{folder}/validation")
-    held = records.sparkSession.read.parquet(f"{folder}/validation")
+    if tables.exists(spark, f"{folder}/model/metadata/_SUCCESS"):
+        model = sinks.load_model(f"{folder}/model")
+    else:
+        ranked = frame.select("s1_id", "cand_id", "source", F.col("cheap").alias("score"))
+        chosen = training.training_pairs(training.positives(truth, train_ids, records), ranked, s.negatives_a_positive)
+        rows = frame.join(chosen.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
+        model = training.train(tables.cached(spark, f"{folder}/training", lambda: rows), columns, s.max_iter, s.max_depth)
+        sinks.save_model(model, f"{folder}/model")
+    held = frame.join(held_ids.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+    held = tables.cached(spark, f"{folder}/validation", lambda: blocking.labelled(training.scored(model, held), truth))
     held_truth = truth.join(held_ids.select(F.col("entity_id").alias("source1_entity_id")), "source1_entity_id", "left_semi")
-    scores = evaluation.macro_f05(evaluation.entity_counts(held, held_truth, held_ids, s.grid))
+    scores = tables.cached(spark, f"{folder}/grid", lambda: evaluation.macro_f05(evaluation.entity_counts(held, held_truth, held_ids, s.grid)))
     best = evaluation.best_threshold(scores)
     threshold = best.first()["threshold"]
     metrics = evaluation.metrics_document(best, evaluation.pair_metrics(held, threshold), held_ids.count(), held.count())
@@ -85,22 +89,68 @@ def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings |
 def predict(records: DataFrame, linkage: Linkage, settings: Settings | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Match lists and candidate lists, a row for every S1 record."""
     s = settings or Settings()
-    frame, _ = pair_frame(candidate_pairs(records, s, folder), s)
+    frame, _ = scored_frame(records, s, folder)
     scored = training.scored(linkage.model, frame).select("s1_id", "cand_id", "score")
     entities = records.where("source = 'S1'").select("entity_id")
     return submission.match_lists(scored, entities, linkage.threshold), submission.ranked_lists(scored, entities, name="candidate_entity_ids")
 
 
-def run(spark: SparkSession, sources: list[str], truth: str, out: str, settings: Settings | None = None) -> dict:
-    """From tab-separated files to a saved model, two lists and the validation's figures."""
-    records = tables.read_records(spark, sources[0])
+STAGES = ("candidates", "train", "infer")
+
+
+def _records(spark: SparkSession, sources: list[str], multi_line: bool) -> DataFrame:
+    records = tables.read_records(spark, sources[0], multi_line)
     for path in sources[1:]:
-        records = records.unionByName(tables.read_records(spark, path))
+        records = records.unionByName(tables.read_records(spark, path, multi_line))
+    return records
+
+
+def run(
+    spark: SparkSession, sources: list[str], truth: str, out: str, settings: Settings | None = None, stage: str = "all", test_sources: list[str] | None = None, multi_line: bool = False
+) -> dict:
+    """From tab-separated files to a saved model, two lists that are checked, and the validation's figures.
+
+    stage: candidates (pairs with features), train (model, threshold, metrics.json), infer (the lists for
+    test_sources, by default the same sources) or all. What a stage has written under out is not made again, so a
+    run that was stopped goes on; another out starts afresh. Lists that break a rule are not written."""
+    if stage not in ("all", *STAGES):
+        raise ValueError(f"stage must be all or one of {', '.join(STAGES)}")
+    s = settings or Settings()
+    records = _records(spark, sources, multi_line)
+    if stage == "candidates":
+        return {"candidate_pairs": scored_frame(records, s, out)[0].count()}
     pairs = tables.truth_pairs(tables.read_tsv(spark, truth, tables.TRUTH))
-    linkage = fit(records, pairs, out, settings)
-    sinks.save_model(linkage.model, f"{out}/model")
-    matches, candidates = predict(records, linkage, settings, f"{out}/inference")
+    linkage = fit(records, pairs, out, s)
+    sinks.write_json(spark, linkage.metrics, f"{out}/metrics.json")
+    sinks.write_report(linkage.scores.orderBy("threshold"), f"{out}/thresholds")
+    if stage == "train":
+        return linkage.metrics
+    asked = _records(spark, test_sources, multi_line) if test_sources else records
+    # The same records have their pairs already.
+    matches, candidates = predict(asked, linkage, s, f"{out}/inference" if test_sources else out)
+    matches = tables.cached(spark, f"{out}/checked/matches", lambda: matches)
+    candidates = tables.cached(spark, f"{out}/checked/candidates", lambda: candidates)
+    found = submission.violations(matches, candidates, asked.where("source = 'S1'"), asked.where("source <> 'S1'")).where("violations > 0").collect()
+    if found:
+        raise ValueError("the lists break rules: " + ", ".join(f"{r['rule']} {r['violations']}" for r in found))
     sinks.write_tsv(matches, f"{out}/matching_results")
     sinks.write_tsv(candidates, f"{out}/candidate_pairs")
-    sinks.write_report(linkage.scores.orderBy("threshold"), f"{out}/thresholds")
     return linkage.metrics
+
+
+def main(argv: list[str] | None = None) -> None:
+    import argparse
+
+    parser = argparse.ArgumentParser(prog="matchloom.plans.linkage", description="Links the records of three sources.")
+    parser.add_argument("--sources", nargs="+", required=True)
+    parser.add_argument("--truth", required=True)
+    parser.add_argument("--out", required=True)
+    parser.add_argument("--test-sources", nargs="+")
+    parser.add_argument("--stage", choices=["all", *STAGES], default="all")
+    parser.add_argument("--multi-line", action="store_true", help="values may hold line breaks")
+    a = parser.parse_args(argv)
+    print(run(SparkSession.builder.getOrCreate(), a.sources, a.truth, a.out, None, a.stage, a.test_sources, a.multi_line))
+
+
+if __name__ == "__main__":
+    main()

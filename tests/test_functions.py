@@ -112,3 +112,21 @@ def test_f05_of_the_worked_example(spark):
     two = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
     r = evaluation.macro_f05(evaluation.entity_counts(scored, truth, two)).where("threshold = 0.94").first()
     assert r.macro_f05 == pytest.approx(0.5)
+
+
+def test_other_alphabets():
+    from matchloom.functions.text import _ascii
+
+    for given, want in (
+        ("Москва", "Moskva"), ("Щёлково, ул. Ленина 5", "Shchiolkovo, ul. Lenina 5"), ("ΑΘΗΝΑ αθήνα", "AThENA athena"), ("شركة", "shrkh"), ("トヨタ", "toyota"),
+        ("Київ", "Kiyiv"), ("٤٢", "42"), ("北京 Co", "北京 Co"), ("Café", "Cafe"),
+    ):
+        assert _ascii(given).lower() == want.lower(), given
+
+
+def test_keys_of_other_alphabets(spark):
+    from matchloom.operators import keys
+
+    rows = [("S1-1", "S1", "Москва", "Ленина 5", "RU"), ("S2-1", "S2", "МОСКВА", "Ленина, 5", "RU")]
+    found = keys.keys_v1(keys.engineered(spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")))
+    assert found.where("rule = 'name_exact'").select("key").distinct().count() == 1 and found.where("rule = 'name_exact'").count() == 2

@@ -1,6 +1,5 @@
 """Files in, files out: the whole linkage, sinks, and the stream."""
 
-import json
 import random
 
 import pytest
@@ -38,15 +37,30 @@ def files(tmp_path_factory):
 
 def test_linkage(spark, files, tmp_path):
     settings = linkage.Settings(train_share=0.7, max_iter=5, max_depth=3)
-    metrics = linkage.run(spark, [str(files / f"{s}.tsv") for s in ("S1", "S2", "S3")], str(files / "truth.tsv"), str(tmp_path / "out"), settings)
+    sources, truth, out = [str(files / f"{s}.tsv") for s in ("S1", "S2", "S3")], str(files / "truth.tsv"), str(tmp_path / "out")
+    assert linkage.run(spark, sources, truth, out, settings, "candidates")["candidate_pairs"] > 100
+    written = {p: (tmp_path / "out" / p / "_SUCCESS").stat().st_mtime_ns for p in ("records", "pairs")}
+    metrics = linkage.run(spark, sources, truth, out, settings, "train")
     assert metrics["macro_f05"] > 0.8 and metrics["pairs"]["precision"] > 0.8
-    sinks.write_json(spark, metrics, str(tmp_path / "metrics.json"))
-    assert json.loads((tmp_path / "metrics.json").read_text()) == metrics == sinks.read_json(spark, str(tmp_path / "metrics.json"))
-    matches = tables.read_tsv(spark, str(tmp_path / "out/matching_results"), tables.TRUTH)
-    candidates = tables.read_tsv(spark, str(tmp_path / "out/candidate_pairs"), ["source1_entity_id", "candidate_entity_ids"])
-    records = [tables.read_records(spark, str(files / f"{s}.tsv")) for s in ("S1", "S2", "S3")]
+    assert not (tmp_path / "out/matching_results").exists()
+    # The rest goes on with what is there.
+    assert linkage.run(spark, sources, truth, out, settings) == metrics == sinks.read_json(spark, f"{out}/metrics.json")
+    assert written == {p: (tmp_path / "out" / p / "_SUCCESS").stat().st_mtime_ns for p in written}
+    matches = tables.read_tsv(spark, f"{out}/matching_results", tables.TRUTH)
+    candidates = tables.read_tsv(spark, f"{out}/candidate_pairs", ["source1_entity_id", "candidate_entity_ids"])
+    records = [tables.read_records(spark, x) for x in sources]
     found = submission.violations(matches, candidates, records[0], records[1].union(records[2]))
     assert matches.count() == 120 and all(r.violations == 0 for r in found.collect())
+    with pytest.raises(ValueError):
+        linkage.run(spark, sources, truth, out, settings, "other")
+
+
+def test_lists_that_break_a_rule_are_not_written(spark, files, tmp_path, monkeypatch):
+    settings = linkage.Settings(train_share=0.7, max_iter=2, max_depth=2, kernels=False)
+    monkeypatch.setattr(submission, "match_lists", lambda scored, entities, t: entities.selectExpr("entity_id AS source1_entity_id", "'X-1' AS matched_entity_ids"))
+    with pytest.raises(ValueError, match="bad_prefix"):
+        linkage.run(spark, [str(files / f"{s}.tsv") for s in ("S1", "S2", "S3")], str(files / "truth.tsv"), str(tmp_path / "out"), settings)
+    assert not (tmp_path / "out/matching_results").exists()
 
 
 def test_violations_are_found(spark):
