@@ -9,7 +9,7 @@ from ..operators import blocking, evaluation, features, keys, submission, traini
 from ..sources import sinks, tables
 from . import sqltext as S
 from .block_queries import _CAND, _mat, _mkeys, _pipe, _pkeys, _top, _TOPK, folder
-from .projection import ENT, GT, biz, ent, gt
+from .projection import BIZ, ENT, GT, biz, ent, gt
 
 ENG, KEYS, MAT, MKEYS, PIPE, PKEYS = S.ENG, S.KEYS, S.MAT, S.MKEYS, S.PIPE, S.PKEYS
 Q, SQL = {}, {}
@@ -33,7 +33,15 @@ dp(a, b, i, prev) AS (
   SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, jj: list_append(acc, CASE WHEN substr(b, jj[1], 1) = substr(a, i + 1, 1)
     THEN prev[jj[1]] + 1 ELSE greatest(prev[jj[1] + 1], acc[jj[1]]) END), [0::BIGINT])
   FROM dp WHERE i < length(a)),
-res AS (SELECT DISTINCT a, b, round(200.0::DOUBLE * prev[length(b) + 1] / (length(a) + length(b)), 6) AS score FROM dp WHERE i = length(a))"""
+res AS (SELECT DISTINCT a, b, round(200.0::DOUBLE * prev[length(b) + 1] / greatest(1, length(a) + length(b)), 6) AS score, prev[length(b) + 1] AS lcs FROM dp WHERE i = length(a))"""
+_PARTS_SQL = "pr AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part)"
+
+
+def _lcs_of(pairs: str) -> str:
+    """The recursion over other pairs (a, b), each of them once."""
+    return _LCS.format(a="a", b="b").replace(_PARTS_SQL, pairs)
+
+
 _SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda z: z <> '')), ' ')"
 
 
@@ -52,17 +60,65 @@ def L2_token_sort_ratio(spark, d):
     return p.select("a", "b", F.round(sim.score("token_sort_ratio", F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+def _token_sets(table: str, x: str, y: str) -> str:
+    """u: the common tokens of two texts and what each has besides, each in order as one text; pr: pairs of the latter."""
+    only = lambda a, b: f"array_to_string(list_sort(list_filter({a}, lambda z: NOT list_contains({b}, z))), ' ')"
+    return f"""tks AS (SELECT *, list_distinct({S.tokens(x)}) AS x, list_distinct({S.tokens(y)}) AS y FROM {table}),
+u AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS common, {only('x', 'y')} AS p, {only('y', 'x')} AS q FROM tks),
+pr AS (SELECT DISTINCT p AS a, q AS b FROM u)"""
+
+
+_SET_SCORE = """CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE WHEN common <> '' AND (p = '' OR q = '') THEN 100.0::DOUBLE ELSE round(greatest(
+  200.0::DOUBLE * (length(common) + g + lcs) / (2 * (length(common) + g) + length(p) + length(q)), CASE WHEN common <> '' THEN 200.0::DOUBLE * length(common) / (2 * length(common) + 1 + length(p)) ELSE 0 END,
+  CASE WHEN common <> '' THEN 200.0::DOUBLE * length(common) / (2 * length(common) + 1 + length(q)) ELSE 0 END), 6) END"""
+
+
+@query(
+    S.with_(BIZ, _lcs_of(_token_sets("biz", "lower(business_name)", "lower(business_address)")))
+    + f"SELECT entity_id, {_SET_SCORE} AS score FROM (SELECT *, CASE WHEN common = '' THEN 0 ELSE 1 END AS g FROM u) JOIN res ON a = p AND b = q"
+)
 def L3_token_set_ratio(spark, d):
     return biz(spark, d).select("entity_id", F.round(sim.score("token_set_ratio", F.lower("business_name"), F.lower("business_address")), 6).alias("score"))
 
 
-@query()
+_WINDOWS = """w0 AS (SELECT DISTINCT p_name AS n, p_type AS t, CASE WHEN length(p_name) <= length(p_type) THEN p_name ELSE p_type END AS s, CASE WHEN length(p_name) <= length(p_type) THEN p_type ELSE p_name END AS l FROM part),
+w1 AS (SELECT n, t, s, l FROM w0 UNION SELECT n, t, l, s FROM w0 WHERE length(s) = length(l)),
+w AS (SELECT n, t, s, unnest(list_distinct(list_transform(range(1 - length(s), length(l)), lambda i: substr(l, greatest(i, 0) + 1, length(s) + least(i, 0))))) AS part FROM w1),
+pr AS (SELECT DISTINCT s AS a, part AS b FROM w)"""
+_PARTIAL = "SELECT n AS a, t AS b, round(max(200.0::DOUBLE * lcs / (length(res.a) + length(res.b))), 6) AS score FROM w JOIN res ON res.a = s AND res.b = part GROUP BY n, t"
+
+
+@query(S.with_(_lcs_of(_WINDOWS)) + _PARTIAL)
 def L4_partial_ratio(spark, d):
     return _parts(spark, d).select("a", "b", F.round(sim.score("partial_ratio", F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+def _partial_of(pairs: str) -> str:
+    """wi: for each pair (s, l) its windows, on the longer text, or on either where they are equally long."""
+    return f"""o0 AS (SELECT DISTINCT s, l FROM ({pairs})),
+o1 AS (SELECT s, l, CASE WHEN length(s) <= length(l) THEN s ELSE l END AS lo, CASE WHEN length(s) <= length(l) THEN l ELSE s END AS hi FROM o0),
+o2 AS (SELECT s, l, lo, hi FROM o1 UNION SELECT s, l, hi, lo FROM o1 WHERE length(lo) = length(hi)),
+wi AS (SELECT s, l, lo, unnest(list_distinct(list_transform(range(1 - length(lo), length(hi)), lambda i: substr(hi, greatest(i, 0) + 1, length(lo) + least(i, 0))))) AS part FROM o2 WHERE lo <> '')"""
+
+
+_WEIGHTED = f"""own AS (SELECT DISTINCT p_name AS n, p_type AS t, array_to_string(list_sort({S.tokens('p_name')}), ' ') AS sn, array_to_string(list_sort({S.tokens('p_type')}), ' ') AS st,
+  array_to_string(list_sort(list_distinct({S.tokens('p_name')})), ' ') AS dn, array_to_string(list_sort(list_distinct({S.tokens('p_type')})), ' ') AS dt FROM part),
+{_token_sets('own', 'n', 't').split(',' + chr(10) + 'pr AS')[0]},
+{_partial_of('SELECT n AS s, t AS l FROM own UNION SELECT sn, st FROM own UNION SELECT dn, dt FROM own')},
+pr AS (SELECT DISTINCT n AS a, t AS b FROM own UNION SELECT sn, st FROM own UNION SELECT p, q FROM u UNION SELECT lo, part FROM wi)"""
+_RATIO = "200.0::DOUBLE * {0}.lcs / greatest(1, length({0}.a) + length({0}.b))"
+
+
+@query(
+    S.with_(_lcs_of(_WEIGHTED))
+    + f""", pa AS (SELECT wi.s, wi.l, max({_RATIO.format('res')}) AS v FROM wi JOIN res ON res.a = lo AND res.b = part GROUP BY ALL),
+m AS (SELECT u.n, u.t, {_RATIO.format('r')} AS ratio, {_RATIO.format('k')} AS sorted, {_SET_SCORE.replace('lcs', 'e.lcs').replace('round(greatest', '(greatest').replace('END), 6) END', 'END)) END')} AS sets,
+  p1.v AS part, CASE WHEN common <> '' THEN 100.0::DOUBLE ELSE greatest(p2.v, p3.v) END AS part_tokens, greatest(length(u.n), length(u.t))::DOUBLE / least(length(u.n), length(u.t)) AS longer
+  FROM (SELECT *, CASE WHEN common = '' THEN 0 ELSE 1 END AS g FROM u) u JOIN res r ON r.a = u.n AND r.b = u.t JOIN res k ON k.a = sn AND k.b = st JOIN res e ON e.a = p AND e.b = q
+  JOIN pa p1 ON p1.s = u.n AND p1.l = u.t JOIN pa p2 ON p2.s = sn AND p2.l = st JOIN pa p3 ON p3.s = dn AND p3.l = dt)
+SELECT n AS a, t AS b, round(CASE WHEN longer < 1.5 THEN greatest(ratio, 0.95::DOUBLE * greatest(sorted, sets))
+  ELSE greatest(ratio, part * CASE WHEN longer <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END, part_tokens * 0.95::DOUBLE * CASE WHEN longer <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) END, 6) AS score FROM m"""
+)
 def L5_weighted_ratio(spark, d):
     return _parts(spark, d).select("a", "b", F.round(sim.score("weighted_ratio", F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -72,16 +128,24 @@ def L6_jaro_winkler(spark, d):
     return _parts(spark, d).select("a", "b", F.round(sim.score("jaro_winkler", F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+@query(
+    f"SELECT r.a, r.b, r.score AS ratio, o.score AS partial_ratio, k.score AS token_sort_ratio, e.score AS token_set_ratio FROM ({S.with_(_LCS.format(a='a', b='b'))} SELECT a, b, score FROM res) r "
+    f"JOIN ({S.with_(_lcs_of(_WINDOWS))} {_PARTIAL}) o ON o.a = r.a AND o.b = r.b "
+    f"JOIN ({S.with_('own AS (SELECT DISTINCT p_name AS n, p_type AS t FROM part)', _lcs_of('pr AS (SELECT DISTINCT ' + _SORTED.format('n') + ' AS a, ' + _SORTED.format('t') + ' AS b FROM own)'))} "
+    f"SELECT n, t, score FROM own JOIN res ON a = {_SORTED.format('n')} AND b = {_SORTED.format('t')}) k ON k.n = r.a AND k.t = r.b "
+    f"JOIN ({S.with_('own AS (SELECT DISTINCT p_name AS n, p_type AS t FROM part)', _lcs_of(_token_sets('own', 'n', 't')))} "
+    f"SELECT n, t, {_SET_SCORE} AS score FROM (SELECT *, CASE WHEN common = '' THEN 0 ELSE 1 END AS g FROM u) JOIN res ON a = p AND b = q) e ON e.n = r.a AND e.t = r.b"
+)
 def L7_all_scores(spark, d):
-    return _parts(spark, d).select("a", "b", sim.all_scores(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.*")
+    found = _parts(spark, d).select("a", "b", sim.all_scores(F.col("a"), F.col("b")).alias("s"))
+    return found.select("a", "b", *[F.round(f"s.{c}", 6).alias(c) for c in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")])
 
 
 _SAFE_PAIRS = "pr AS (SELECT DISTINCT left(business_name, 30) AS a, left(business_address, 30) AS b FROM ent)"
 
 
 @query(
-    S.with_(ENT, _LCS.format(a="a", b="b").replace("pr AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part)", _SAFE_PAIRS))
+    S.with_(ENT, _lcs_of(_SAFE_PAIRS))
     + "SELECT pr.a, pr.b, CASE WHEN pr.a = '' OR pr.b = '' THEN 0.0::DOUBLE ELSE round(score / 100.0, 6) END AS score FROM pr LEFT JOIN res ON pr.a = res.a AND pr.b = res.b"
 )
 def L8_safe_ratio(spark, d):
@@ -95,7 +159,23 @@ def _pairs(spark, d):
     return blocking.with_records(_top(spark, d), _mat(spark, d))
 
 
-@query()
+def _scores_of(pairs: str) -> str:
+    """alike: ratio and token_set of each distinct pair of texts (n, t), from one recursion; both 0 to 100."""
+    made = _token_sets(f"(SELECT DISTINCT n, t FROM ({pairs}))", "n", "t").replace("pr AS (SELECT DISTINCT p AS a, q AS b FROM u)", "pr AS (SELECT DISTINCT n AS a, t AS b FROM u UNION SELECT p, q FROM u)")
+    return _lcs_of(made) + f""",
+alike AS (SELECT n, t, CASE WHEN n = '' AND t = '' THEN 100.0::DOUBLE ELSE {_RATIO.format('r')} END AS ratio, {_SET_SCORE.replace('lcs', 'e.lcs').replace('round(greatest', '(greatest').replace('END), 6) END', 'END)) END')} AS sets
+  FROM (SELECT *, CASE WHEN common = '' THEN 0 ELSE 1 END AS g FROM u) JOIN res r ON r.a = n AND r.b = t JOIN res e ON e.a = p AND e.b = q)"""
+
+
+_TOP_PAIRS = "SELECT a.name_norm AS n, b.name_norm AS t FROM top JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id UNION SELECT a.address_norm, b.address_norm FROM top JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id"
+
+
+@query(
+    S.with_(ENT, MAT, MKEYS, _TOPK.strip().lstrip(","), _scores_of(_TOP_PAIRS))
+    + """SELECT s1_id, cand_id, top.source, round(0.40::DOUBLE * x.ratio / 100 + 0.20::DOUBLE * x.sets / 100 + 0.25::DOUBLE * y.ratio / 100 + 0.10::DOUBLE * y.sets / 100
+  + 0.05::DOUBLE * CASE WHEN a.postal <> '' AND a.postal = b.postal THEN 1 ELSE 0 END, 6) AS cheap
+FROM top JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id JOIN alike x ON x.n = a.name_norm AND x.t = b.name_norm JOIN alike y ON y.n = a.address_norm AND y.t = b.address_norm"""
+)
 def M1_cheap_score(spark, d):
     return _pairs(spark, d).select("s1_id", "cand_id", "source", F.round(features.cheap_score(F.col("a"), F.col("b")), 6).alias("cheap"))
 
@@ -225,7 +305,15 @@ def B9_model_round_trip(spark, d):
     return training.scored(sinks.load_model(path), frame).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_M2_COLUMNS = f"""CASE WHEN a.country = b.country THEN 1 ELSE 0 END AS country_exact, {_m2('name')}, {_m2('address')}, CASE WHEN a.postal <> '' AND a.postal = b.postal THEN 1 ELSE 0 END AS postal_exact,
+round(CASE WHEN len(a.number_tokens) = 0 OR len(b.number_tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.number_tokens, b.number_tokens))::DOUBLE / least(len(a.number_tokens), len(b.number_tokens)) END, 6) AS number_overlap"""
+
+
+@query(
+    S.with_(ENT, MAT, MKEYS, GT) + _TOPK + f"""SELECT s1_id, cand_id, top.source, CASE WHEN g.source1_entity_id IS NULL THEN 0 ELSE 1 END AS label, {_M2_COLUMNS}
+FROM top JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id LEFT JOIN (SELECT DISTINCT * FROM gt) g ON g.source1_entity_id = s1_id AND g.matched_entity_id = cand_id
+WHERE ('0x' || left(md5(s1_id || '|42'), 8))::BIGINT / 4294967296.0 >= 0.5"""
+)
 def N7_validation_candidates(spark, d):
     ids = training.hash_split(ent(spark, d).where("source = 'S1'").select("entity_id"), 0.5).where("NOT is_train").select(F.col("entity_id").alias("s1_id"))
     rows = blocking.labelled(_pairs(spark, d).join(ids, "s1_id", "left_semi"), gt(spark, d))
