@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,12 +46,26 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
         df.sparkSession.conf.set(key, str(rows))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of a query are deleted when the query ends, not when the driver's collector
+    next finds them unused. The session's setting is put back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read again: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{label}"
     _written.append(path.rsplit("/", 1)[0])
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
