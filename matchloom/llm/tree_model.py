@@ -1,13 +1,29 @@
-"""A context tree over bytes with binary-decomposed Krichevsky-Trofimov estimates, weighted over all depths."""
+"""Context-tree weighting over bytes: binary-decomposed Krichevsky-Trofimov estimates, mixed over all depths.
 
-from __future__ import annotations
+The tree holds every context of the corpus down to its depth and is never in one place. A node is a context and
+the leading bits of the byte after it; its key is context * 256 + those bits after a 1. Its weighted probability
+is half its own KT estimate and half the product over the contexts one byte longer; at the full depth it is the
+KT estimate alone. Two passes make of the counts of all grams (a context and its byte) the probability of
+each gram's byte: one from the longest contexts up, which gives each node's weighted probability, and one down,
+which carries (a, b) such that the probability of a 1 is a + b * (what the next depth says). The last two
+depths are worked out in numpy, for each shorter context apart; those above by aggregates and joins on the nodes."""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .shared import written
 
-DEPTH = 4
-_HALF = 0.5
+DEPTH = 5
+#: With its byte and the node's bits, a context must fit a signed long.
+DEEPEST = 6
+_AT_ONCE = 1 << 18
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -24,7 +40,11 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the KT probability of any sequence with so many zeros and ones."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - np.log(np.pi) - _lgamma(zeros + ones + 1)
+    out = np.zeros(len(zeros))
+    some = np.flatnonzero(zeros + ones)
+    z, o = zeros[some], ones[some]
+    out[some] = _lgamma(z + 0.5) + _lgamma(o + 0.5) - np.log(np.pi) - _lgamma(z + o + 1)
+    return out
 
 
 def grams(text: bytes | np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -37,171 +57,169 @@ def grams(text: bytes | np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
-def _bit_nodes(context: np.ndarray, byte: np.ndarray, n: np.ndarray):
-    """Sorted keys (context * 256 + leading bits after a 1) with the counts of a following 0 and 1."""
-    keys, ones, weights = [], [], []
-    for i in range(8):
-        keys.append((context << np.uint64(8)) | np.uint64(1 << i) | (byte >> np.uint64(8 - i)))
-        ones.append((byte >> np.uint64(7 - i)) & np.uint64(1))
-        weights.append(n)
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    one, weight = np.concatenate(ones).astype(float), np.concatenate(weights)
-    n1 = np.bincount(at, weight * one, len(key))
-    return key, np.bincount(at, weight, len(key)) - n1, n1
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted keys, and whether each wanted key is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-@dataclass
-class Level:
-    """One depth: its contexts, whether they go on to deeper ones, the bit nodes' estimates of a 1 and
-    weights of stopping here, and the estimates of what deeper contexts that aren't kept have seen."""
-
-    contexts: np.ndarray
-    inner: np.ndarray
-    keys: np.ndarray
-    one: np.ndarray
-    stop: np.ndarray
-    other_keys: np.ndarray
-    other_one: np.ndarray
-
-
-class ContextTree:
-    """Context-tree weighting over a fixed set of contexts.
-
-    A context's deeper contexts that aren't kept are pooled in one more leaf, so that the leaves part all
-    positions and each bit node's weights are those of a proper tree: half for its own KT estimate, half
-    for the product over what lies below. Trained weights are then held fixed."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH):
-        """tables[d]: grams of the kept contexts of depth d, and their counts."""
-        self.depth = depth
-        self.levels: list[Level] = []
-        below = None
-        for d in range(depth, -1, -1):
-            gram, n = tables[d]
-            gram, n = np.asarray(gram, np.uint64), np.asarray(n, float)
-            context, byte = gram >> np.uint64(8), gram & np.uint64(255)
-            contexts = np.unique(context)
-            key, zero, one = _bit_nodes(context, byte, n)
-            own = kt_log(zero, one)
-            inner = np.zeros(len(contexts), bool)
-            weighted, stop = own.copy(), np.ones(len(key))
-            other_key, other_one = np.empty(0, np.uint64), np.empty(0)
-            if below is not None and len(below["contexts"]):
-                mask = np.uint64((1 << (8 * d)) - 1)
-                inner[np.searchsorted(contexts, np.unique(below["contexts"] & mask))] = True
-                child_gram, child_n = below["gram"], below["n"]
-                upper = ((child_gram >> np.uint64(8)) & mask) << np.uint64(8) | (child_gram & np.uint64(255))
-                order = np.argsort(gram)
-                at, found = _find(gram[order], upper)
-                if not found.all():
-                    raise ValueError("a context is kept whose shorter one is not")
-                rest = n[order].copy()
-                np.subtract.at(rest, at, child_n)
-                keep = inner[np.searchsorted(contexts, context[order])] & (rest > 0)
-                other_key, z, o = _bit_nodes(context[order][keep], byte[order][keep], rest[keep]) if keep.any() else (other_key, np.empty(0), np.empty(0))
-                other_one = (o + _HALF) / (z + o + 1)
-                total = np.zeros(len(key))
-                np.add.at(total, np.searchsorted(key, (((below["key"] >> np.uint64(8)) & mask) << np.uint64(8)) | (below["key"] & np.uint64(255))), below["weighted"])
-                if len(other_key):
-                    np.add.at(total, np.searchsorted(key, other_key), kt_log(z, o))
-                goes_on = inner[np.searchsorted(contexts, key >> np.uint64(8))]
-                stop = np.where(goes_on, 1 / (1 + np.exp(np.clip(total - own, -700, 700))), 1.0)
-                weighted = np.where(goes_on, np.logaddexp(own, total) - np.log(2), own)
-            self.levels.insert(0, Level(contexts, inner, key, ((one + _HALF) / (zero + one + 1)), stop, other_key, other_one))
-            below = {"contexts": contexts, "gram": gram, "n": n, "key": key, "weighted": weighted}
-        self.known_keys, self.known = np.empty(0, np.uint64), np.empty(0, np.float32)
-        ready = [self._cut(d, np.asarray(tables[d][0], np.uint64)) for d in range(depth + 1)]
-        for d in range(depth + 1):
-            gram = np.asarray(tables[d][0], np.uint64)
-            self._add(ready[d], self._log10(gram, np.full(len(gram), d)))
-
-    @staticmethod
-    def _cut(d, gram: np.ndarray) -> np.ndarray:
-        """A key for a gram cut to depth d: the depth above 48 bits."""
-        d = np.asarray(d).astype(np.uint64)
-        return (d << np.uint64(48)) | (gram & ((np.uint64(1) << (np.uint64(8) * (d + np.uint64(1)))) - np.uint64(1)))
-
-    def _add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        keys, values = np.concatenate([self.known_keys, keys]), np.concatenate([self.known, values.astype(np.float32)])
-        order = np.argsort(keys)
-        self.known_keys, self.known = keys[order], values[order]
-
-    def _deepest(self, gram: np.ndarray) -> np.ndarray:
-        """The depth of the longest kept context of each gram."""
-        out = np.zeros(len(gram), np.int64)
-        for d in range(1, self.depth + 1):
-            context = (gram >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-            out += _find(self.levels[d].contexts, context)[1]
-        return out
+def _above(key: np.ndarray, depth: int) -> np.ndarray:
+    """The key of the node with the same bits after the context's newest `depth` bytes."""
+    return ((key >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8) | (key & np.uint64(255))
 
-    def _log10(self, gram: np.ndarray, deepest: np.ndarray) -> np.ndarray:
-        """log10 of the byte's probability, from its eight bits' weighted estimates."""
-        total = np.zeros(len(gram))
-        byte = gram & np.uint64(255)
-        contexts = [(gram >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1) for d in range(self.depth + 1)]
-        inner = []
-        for d, level in enumerate(self.levels):
-            at, found = _find(level.contexts, contexts[d])
-            inner.append(found & level.inner[at] if len(level.inner) else found)
-        for i in range(8):
-            part = np.uint64(1 << i) | (byte >> np.uint64(8 - i))
-            p = np.full(len(gram), _HALF)
-            for d in range(self.depth, -1, -1):
-                here = np.flatnonzero(deepest >= d)
-                if not len(here):
-                    continue
-                level, key = self.levels[d], (contexts[d][here] << np.uint64(8)) | part[here]
-                at, found = _find(level.keys, key)
-                goes_on = inner[d][here]
-                own = np.where(found, level.one[at], _HALF) if len(level.one) else np.full(len(here), _HALF)
-                stop = np.where(found, level.stop[at], np.where(goes_on, _HALF, 1.0)) if len(level.stop) else np.ones(len(here))
-                deeper = p[here]
-                ends = goes_on & (deepest[here] == d)
-                if ends.any():
-                    at, found = _find(level.other_keys, key[ends])
-                    deeper[ends] = np.where(found, level.other_one[at], _HALF) if len(level.other_one) else _HALF
-                p[here] = stop * own + (1 - stop) * deeper
-            bit = (byte >> np.uint64(7 - i)) & np.uint64(1)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of each gram's byte given its context; any number of grams, best without repeats."""
-        deepest = self._deepest(gram)
-        cut = self._cut(deepest, gram)
-        at, found = _find(self.known_keys, cut)
-        out = np.empty(len(gram))
-        out[found] = self.known[at[found]]
-        if not found.all():
-            new, back = np.unique(cut[~found], return_inverse=True)
-            out[~found] = self._log10(new & np.uint64((1 << 48) - 1), (new >> np.uint64(48)).astype(np.int64))[back]
-        return out
+
+def _shares(zeros, ones, own, total):
+    """The KT estimate of a 1, and the weight of a node's own estimate against its longer contexts'."""
+    return (ones + 0.5) / (zeros + ones + 1), 1 / (1 + np.exp(np.clip(total - own, -700, 700)))
 
 
-class Scorer:
-    """Keeps the value of each gram it meets in a fixed number of slots."""
+class Subtree:
+    """The nodes of depth `top` to `depth` over some grams and their counts; grams with count 0 change nothing."""
 
-    def __init__(self, tree: ContextTree, bits: int = 20):
-        self.tree, self.shift = tree, np.uint64(64 - bits)
+    def __init__(self, gram: np.ndarray, n: np.ndarray, top: int, depth: int):
+        gram, n = gram.astype(np.uint64), n.astype(float)
+        byte, keys, ones = gram & np.uint64(255), [], []
+        for i in range(8):
+            keys.append((gram >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << i) | (byte >> np.uint64(8 - i)))
+            ones.append((byte >> np.uint64(7 - i)) & np.uint64(1))
+        self.bits = np.concatenate(ones)
+        # Of each level: keys, zeros, ones, KT logarithm, sum over longer contexts, weighted logarithm, place of each lower node's parent.
+        self.levels: list[tuple] = []
+        key, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+        weight = np.tile(n, 8)
+        one = np.bincount(self.at, weight * self.bits, len(key))
+        zero = np.bincount(self.at, weight, len(key)) - one
+        own = kt_log(zero, one)
+        self.levels.append((key, zero, one, own, np.full(len(key), -np.inf), own, None))
+        for d in range(depth - 1, top - 1, -1):
+            below = self.levels[0]
+            key, at = np.unique(_above(below[0], d), return_inverse=True)
+            zero, one, total = (np.bincount(at, below[i], len(key)) for i in (1, 2, 5))
+            own = kt_log(zero, one)
+            self.levels[0] = (*below[:6], at)
+            self.levels.insert(0, (key, zero, one, own, total, np.logaddexp(own, total) - np.log(2), None))
+
+    def log10(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log10 of each gram's byte, from (a, b) of the uppermost level's nodes in the order of their keys."""
+        for _, zero, one, own, total, _, parent in self.levels[1:]:
+            p, stop = _shares(zero, one, own, total)
+            a, b = a[parent] + b[parent] * stop * p, b[parent] * (1 - stop)
+        p = np.clip(a[self.at], 1e-300, 1.0)
+        return np.log10(np.where(self.bits == 1, p, np.maximum(1 - p, 1e-300))).reshape(8, -1).sum(0)
+
+
+def _whole_groups(batches, least: int = _AT_ONCE):
+    """Tables of some `least` rows that end where the first column, by which rows are sorted, changes."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        group = table.column(0).to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        else:
+            held = table.to_batches()
+        least = max(least, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _context(gram: str, depth: int) -> Column:
+    return F.shiftright(gram, 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1).cast("long"))
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
+
+
+@F.pandas_udf(DoubleType())
+def _kt(zeros: pd.Series, ones: pd.Series) -> pd.Series:
+    return pd.Series(kt_log(zeros.to_numpy(), ones.to_numpy()))
+
+
+def log10_of_grams(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, value) for the written table counts (gram, n): log10 of each gram's byte under the tree of all.
+
+    n is 0 for a gram that is only asked for. Each depth's nodes are one written table; grams are shuffled twice."""
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"depth must be from 0 to {DEEPEST}")
+    top = max(0, depth - 2)
+    by_context = counts.select(_context("gram", top).alias("context"), "gram", "n")
+
+    def upper(batches):
+        for table in _whole_groups(batches):
+            key, zero, one, _, _, weighted, _ = Subtree(*_numbers(table, "gram", "n"), top, depth).levels[0]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(zero), pa.array(one), pa.array(weighted)], ["key", "zeros", "ones", "weighted"])
+
+    nodes = by_context.repartition("context").sortWithinPartitions("context").mapInArrow(upper, "key long, zeros double, ones double, weighted double")
+    levels = [written(nodes, "nodes")]
+    above = lambda key, d: F.shiftleft(_context(key, d), 8).bitwiseOR(F.col(key).bitwiseAND(F.lit(255).cast("long")))
+    for d in range(top - 1, -1, -1):
+        sums = levels[0].groupBy(above("key", d).alias("key")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones")), F.sum("weighted").alias("total"))
+        sums = sums.withColumn("own", _kt("zeros", "ones"))
+        # The logarithm of half of e^own and half of e^total.
+        high, low = F.greatest("own", "total"), F.least("own", "total")
+        levels.insert(0, written(sums.withColumn("weighted", high + F.log1p(F.exp(low - high)) - float(np.log(2))), "nodes"))
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    stop = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("total") - F.col("own")))))
+    down = None
+    for d in range(top):
+        level = levels[d].select("key", one.alias("p"), stop.alias("stop"))
+        if down is None:
+            down = level.select("key", (F.col("stop") * F.col("p")).alias("a"), (1 - F.col("stop")).alias("b"))
+        else:
+            both = level.withColumn("up", above("key", d - 1)).join(down.withColumnRenamed("key", "up"), "up")
+            down = both.select("key", (F.col("a") + F.col("b") * F.col("stop") * F.col("p")).alias("a"), (F.col("b") * (1 - F.col("stop"))).alias("b"))
+    # The uppermost nodes of the subtrees get (a, b) of the node above them: their own share is mixed in below.
+    nodes = levels[-1].select("key")
+    if down is None:
+        nodes = nodes.select("key", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    else:
+        nodes = nodes.withColumn("up", above("key", top - 1)).join(down.withColumnRenamed("key", "up"), "up").select("key", "a", "b")
+    nodes = nodes.select(F.shiftright("key", 8).alias("context"), F.col("key").alias("gram"), F.lit(None).cast("long").alias("n"), "a", "b")
+    none = F.lit(None).cast("double")
+    met = nodes.union(by_context.select("context", "gram", "n", none.alias("a"), none.alias("b")))
+
+    def lower(batches):
+        for table in _whole_groups(batches):
+            known = table.filter(pa.compute.is_valid(table.column("n")))
+            tree = Subtree(*_numbers(known, "gram", "n"), top, depth)
+            key, a, b = _numbers(table.filter(pa.compute.is_null(table.column("n"))), "gram", "a", "b")
+            order = np.argsort(key)
+            key, zero, one, own, total, _, _ = tree.levels[0]
+            p, stop = _shares(zero, one, own, total)
+            a, b = a[order], b[order]
+            value = tree.log10(a + b * stop * p, b * (1 - stop))
+            yield pa.RecordBatch.from_arrays([known.column("gram").combine_chunks(), known.column("n").combine_chunks(), pa.array(value)], ["gram", "n", "value"])
+
+    dealt = met.repartition("context").sortWithinPartitions("context")
+    return written(dealt.mapInArrow(lower, "gram long, n long, value double"), "values")
+
+
+class Known:
+    """Looks up grams in a sorted table of some; the values met last stay in a fixed number of slots. NaN: not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 20):
+        self.table, self.worth, self.shift = keys, values, np.uint64(64 - bits)
         self.keys = np.full(1 << bits, np.uint64((1 << 64) - 1))
         self.values = np.zeros(1 << bits)
 
+    def _slots(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def __call__(self, gram: np.ndarray) -> np.ndarray:
-        slot = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        slot = self._slots(gram)
         out = self.values[slot]
         miss = np.flatnonzero(self.keys[slot] != gram)
         if len(miss):
             new, back = np.unique(gram[miss], return_inverse=True)
-            values = self.tree.log10(new)
+            values = np.full(len(new), np.nan)
+            if len(self.table):
+                at = np.minimum(np.searchsorted(self.table, new), len(self.table) - 1)
+                there = self.table[at] == new
+                values[there] = self.worth[at[there]]
             out[miss] = values[back]
-            slot = ((new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+            slot = self._slots(new)
             self.keys[slot], self.values[slot] = new, values
         return out
