@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of a."""
-    if not a or not b:
-        return 0
+def _where(a: str) -> dict[str, int]:
+    """For each character a bit at each of its places."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << i)
+    return where
+
+
+def _lcs(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a bit for each character of a."""
+    if not a or not b:
+        return 0
+    where = where or _where(a)
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -53,18 +60,38 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def _best_window(a: str, b: str) -> float:
+    """The best ratio of a with a window of its length on b, ends cut short too.
+
+    The characters in common bound a window's ratio; they are kept up to date from one window to the next, and
+    only windows whose bound is above the best ratio so far are compared, those with the highest first."""
+    n, need, have, common, bounds = len(a), Counter(a), Counter(), 0, []
+    for i in range(1 - n, len(b)):
+        if i + n <= len(b):
+            c = b[i + n - 1]
+            have[c] += 1
+            common += have[c] <= need[c]
+        if i > 0:
+            c = b[i - 1]
+            common -= have[c] <= need[c]
+            have[c] -= 1
+        bounds.append((200.0 * common / (n + min(i + n, len(b)) - max(0, i)), i))
+    best, where = 0.0, _where(a)
+    for bound, i in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        window = b[max(0, i) : i + n]
+        best = max(best, 200.0 * _lcs(a, window, where) / (n + len(window)))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """L4: the best ratio of the shorter text with a window of its length on the longer, ends cut short too."""
+    """L4: the best ratio of the shorter text with a window of its length on the longer."""
     if len(a) > len(b):
         a, b = b, a
-    n = len(a)
-    if not n:
+    if not a:
         return 100.0 if not b else 0.0
-    windows = [b[max(0, i) : i + n] for i in range(1 - n, len(b))]
-    best = max(ratio(a, w) for w in set(windows))
-    if n == len(b):
-        best = max([best, *(ratio(b, w) for w in {a[max(0, i) : i + n] for i in range(1 - n, n)})])
-    return best
+    return max(_best_window(a, b), _best_window(b, a) if len(a) == len(b) else 0.0)
 
 
 def partial_token_ratio(a: str, b: str) -> float:

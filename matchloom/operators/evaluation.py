@@ -24,10 +24,11 @@ def _f05(tp: Column, predicted: Column, true: Column, compat: bool) -> Column:
 
 
 def entity_counts(scored: DataFrame, truth: DataFrame, entities: DataFrame, grid=GRID) -> DataFrame:
-    """(t, s1_id, tp, predicted, true, candidates) for every threshold t of fiftieths and entity.
+    """(t, s1_id, tp, predicted, true, candidates) for every threshold t of fiftieths and entity with pairs; an entity
+    without any scores alike at each, so it has one row, with a null t.
 
     One pass: a pair is exploded to the thresholds that it reaches and summed with its entity's others before
-    the shuffle. Entities without any pair are there too."""
+    the shuffle."""
     low, high = min(grid), max(grid)
     true = truth.groupBy(F.col("source1_entity_id").alias("s1_id")).agg(F.count_distinct("matched_entity_id").alias("true"))
     known = truth.select(F.col("source1_entity_id").alias("s1_id"), F.col("matched_entity_id").alias("cand_id")).distinct().withColumn("hit", F.lit(1))
@@ -36,17 +37,23 @@ def entity_counts(scored: DataFrame, truth: DataFrame, entities: DataFrame, grid
     per = pairs.select("s1_id", "hit", F.filter(reach, lambda t: F.col("score") >= t / 50.0).alias("ts"))
     sums = per.select("s1_id", "hit", F.explode("ts").alias("t")).groupBy("s1_id", "t").agg(F.count("*").alias("predicted"), F.count("hit").alias("tp"))
     with_pairs = pairs.groupBy("s1_id").agg(F.count("*").alias("candidates"))
-    every = entities.select(F.col("entity_id").alias("s1_id")).join(true, "s1_id", "left").join(with_pairs, "s1_id", "left").withColumn("t", F.explode(reach))
+    every = entities.select(F.col("entity_id").alias("s1_id")).join(true, "s1_id", "left").join(with_pairs, "s1_id", "left")
+    every = every.withColumn("t", F.explode_outer(F.when(F.col("candidates").isNotNull(), reach)))
     out = every.join(sums, ["s1_id", "t"], "left").na.fill(0, ["tp", "predicted", "true", "candidates"])
     return out.select("t", "s1_id", "tp", "predicted", "true", "candidates")
 
 
-def macro_f05(counts: DataFrame, compat: bool = False) -> DataFrame:
-    """O2, O3 for each threshold: the mean over entities."""
-    score = _f05(F.col("tp"), F.col("predicted"), F.col("true"), False)
-    if compat:
-        score = F.when(F.col("candidates") == 0, F.when(F.col("true") == 0, 1.0).otherwise(0.0)).otherwise(_f05(F.col("tp"), F.col("predicted"), F.col("true"), True))
-    return counts.groupBy("t").agg(F.count("*").alias("entities"), F.round(F.avg(score), 6).alias("macro_f05")).select((F.col("t") / 50.0).alias("threshold"), "entities", "macro_f05")
+def macro_f05(counts: DataFrame, compat: bool = False, grid=GRID) -> DataFrame:
+    """O2, O3 for each threshold: the mean over entities.
+
+    An entity without pairs scores 1 where it has no match, else 0, in either way of counting."""
+    score = _f05(F.col("tp"), F.col("predicted"), F.col("true"), compat)
+    rest = counts.where("t IS NULL").agg(F.count("*").alias("others"), F.count_if(F.col("true") == 0).alias("right"))
+    sums = counts.where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"), F.sum(score).alias("total"))
+    every = counts.sparkSession.range(min(grid), max(grid) + 1).select(F.col("id").cast("int").alias("t")).join(sums, "t", "left").na.fill(0).join(F.broadcast(rest))
+    entities = F.col("n") + F.col("others")
+    mean = F.when(entities > 0, F.round((F.col("total") + F.col("right")) / entities, 6))
+    return every.select((F.col("t") / 50.0).alias("threshold"), entities.alias("entities"), mean.alias("macro_f05"))
 
 
 def best_threshold(scores: DataFrame) -> DataFrame:

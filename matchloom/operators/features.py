@@ -67,6 +67,13 @@ def pipeline_native(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
+#: The names of pipeline_features, in their order.
+PIPELINE_FEATURES = (
+    "name_exact name_tok_jaccard name_tok_contain name_prefix6_match addr_tok_jaccard addr_tok_contain addr_num_overlap postal_match postal_missing country_match "
+    "name_jw name_token_sort name_token_set name_partial addr_jw addr_token_sort combo_score"
+).split()
+
+
 def pipeline_features(a: Column, b: Column) -> dict[str, Column]:
     """M3: the staged pipeline's features, beside the rules' flags."""
     r = lambda n, c: sim.score(n, a[c], b[c]) / 100.0

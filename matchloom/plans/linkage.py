@@ -79,7 +79,7 @@ def fit(records: DataFrame, truth: DataFrame, folder: str, settings: Settings |
     held = frame.join(held_ids.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
     held = tables.cached(spark, f"{folder}/validation", lambda: blocking.labelled(training.scored(model, held), truth))
     held_truth = truth.join(held_ids.select(F.col("entity_id").alias("source1_entity_id")), "source1_entity_id", "left_semi")
-    scores = tables.cached(spark, f"{folder}/grid", lambda: evaluation.macro_f05(evaluation.entity_counts(held, held_truth, held_ids, s.grid)))
+    scores = tables.cached(spark, f"{folder}/grid", lambda: evaluation.macro_f05(evaluation.entity_counts(held, held_truth, held_ids, s.grid), grid=s.grid))
     best = evaluation.best_threshold(scores)
     threshold = best.first()["threshold"]
     metrics = evaluation.metrics_document(best, evaluation.pair_metrics(held, threshold), held_ids.count(), held.count())

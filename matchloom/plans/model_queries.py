@@ -259,13 +259,13 @@ def N3_training_frame(spark, d):
     return training.training_frame(pairs, gt(spark, d)).select("s1_id", "cand_id", "label")
 
 
-FEATURES = ["name_exact", "name_tok_jaccard", "name_tok_contain", "addr_tok_jaccard", "addr_tok_contain", "addr_num_overlap", "postal_match", "country_match"]
+FEATURES = features.PIPELINE_FEATURES
 
 
 def _frame(spark, d):
-    """Candidates with the native features and their label, written once: fitting passes over it again and again."""
+    """Candidates with the staged pipeline's features and their label, written once: fitting passes over it again and again."""
     path = folder(spark)
-    rows = _pipe_pairs(spark, d).select("s1_id", "cand_id", "source", *[c.cast("double").alias(n) for n, c in features.pipeline_native(F.col("a"), F.col("b")).items()])
+    rows = _pipe_pairs(spark, d).select("s1_id", "cand_id", "source", *[c.cast("double").alias(n) for n, c in features.pipeline_features(F.col("a"), F.col("b")).items()])
     sinks.write_parquet(blocking.labelled(rows, gt(spark, d)), path)
     return spark.read.parquet(path)
 
@@ -273,7 +273,7 @@ def _frame(spark, d):
 def _scored(spark, d):
     frame = _frame(spark, d)
     ids = training.hash_split(ent(spark, d).where("source = 'S1'").select("entity_id")).where("is_train").select(F.col("entity_id").alias("s1_id"))
-    model = training.train(frame.join(ids, "s1_id", "left_semi"), FEATURES, max_iter=5, max_depth=4)
+    model = training.train(frame.join(ids, "s1_id", "left_semi"), FEATURES, max_iter=15, max_depth=5)
     return model, training.scored(model, frame)
 
 
@@ -282,12 +282,17 @@ def N4_gbt_scores(spark, d):
     return _scored(spark, d)[1].select("s1_id", "cand_id", "label", F.round("score", 6).alias("score"))
 
 
-@query()
-def N5_early_stop_scores(spark, d):
-    """Row and feature subsampling, least rows a leaf, and a held-out part that stops the boosting."""
+def early_stopped(spark, d, most: int = 30):
+    """Row and feature subsampling, least rows a leaf, and a held-out part that stops the boosting: its model and frame."""
     frame = _frame(spark, d)
     own = training.hash_split(ent(spark, d).where("source = 'S1'").select("entity_id")).select(F.col("entity_id").alias("s1_id"), (~F.col("is_train")).alias("held"))
-    model = training.train(frame.join(own, "s1_id"), FEATURES, max_iter=5, max_depth=4, validation="held", subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=5)
+    options = {"validationTol": 0.1, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "minInstancesPerNode": 5}
+    return training.train(frame.join(own, "s1_id"), FEATURES, max_iter=most, max_depth=5, step=0.5, validation="held", **options), frame
+
+
+@query()
+def N5_early_stop_scores(spark, d):
+    model, frame = early_stopped(spark, d)
     return training.scored(model, frame).select("s1_id", "cand_id", "label", F.round("score", 6).alias("score"))
 
 

@@ -34,6 +34,17 @@ def test_estimate_is_the_size_of_the_join(long):
     assert estimate == blocking.pairs_with_rules(long).count()
 
 
+def test_rules_without_hits_are_reported(spark):
+    rows = [("S1-1", "S1", "a", "x"), ("S2-1", "S2", "a", "x"), ("S1-1", "S1", "b", "p"), ("S2-1", "S2", "b", "q"), ("S3-1", "S3", "a", "z")]
+    keys_ = spark.createDataFrame(rows, "entity_id string, source string, rule string, key string")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1")], "source1_entity_id string, matched_entity_id string")
+    by = lambda df, *c: {tuple(r[x] for x in c[:-1]): r[c[-1]] for r in df.collect()}
+    assert by(profile.recall_by_rule(truth, keys_), "target", "rule", "recovered_pairs") == {("S2", "a"): 1, ("S2", "b"): 0, ("S3", "a"): 0, ("S3", "b"): 0}
+    assert by(profile.recall_by_entity(truth, keys_), "rule", "fully_recovered_entities") == {("a",): 0, ("b",): 0}
+    assert by(profile.estimated_pairs(keys_), "target", "rule", "candidate_pairs") == {("S2", "a"): 1, ("S2", "b"): 0, ("S3", "a"): 0, ("S3", "b"): 0}
+    assert by(profile.block_statistics(keys_, ("source", "rule")), "source", "rule", "blocks")[("S3", "b")] == 0
+
+
 def test_candidates_grow_with_the_cap(long):
     few, many = (blocking.candidates(long, n) for n in (2, 50))
     assert few.count() <= many.count() and few.subtract(many).count() == 0

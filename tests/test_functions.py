@@ -130,3 +130,24 @@ def test_keys_of_other_alphabets(spark):
     rows = [("S1-1", "S1", "Москва", "Ленина 5", "RU"), ("S2-1", "S2", "МОСКВА", "Ленина, 5", "RU")]
     found = keys.keys_v1(keys.engineered(spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string")))
     assert found.where("rule = 'name_exact'").select("key").distinct().count() == 1 and found.where("rule = 'name_exact'").count() == 2
+
+
+def test_partial_ratio_against_all_windows():
+    import random
+    import time
+
+    from matchloom.functions.similarity import partial_ratio, ratio
+
+    def slow(a, b):
+        a, b = sorted((a, b), key=len)
+        windows = lambda x, y: (y[max(0, i) : i + len(x)] for i in range(1 - len(x), len(y)))
+        best = max((ratio(a, w) for w in windows(a, b)), default=0.0 if b else 100.0) if a else 0.0 if b else 100.0
+        return max([best, *(ratio(b, w) for w in windows(b, a))]) if len(a) == len(b) else best
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc d", k=rng.randint(0, 12))) for _ in "ab")
+        assert partial_ratio(a, b) == slow(a, b), (a, b)
+    long = "".join(rng.choices("abcdefghij ", k=2000))
+    began = time.perf_counter()
+    assert partial_ratio(long[700:820], long) == 100.0 and time.perf_counter() - began < 0.5
