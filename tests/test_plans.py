@@ -118,3 +118,16 @@ def test_stream(spark, files, tmp_path):
     got = spark.read.parquet(out)
     assert {r.source for r in got.select("source").distinct().collect()} == {"S1", "S2"}
     assert got.count() == got.distinct().count() > 240
+
+
+def test_early_stopping_bites(spark, sf_dir):
+    from matchloom.operators import features, training
+    from matchloom.plans import model_queries
+
+    model, frame = model_queries.early_stopped(spark, sf_dir)
+    assert 0 < model.stages[-1].getNumTrees < 30
+    names = [c for c in frame.columns if c not in ("s1_id", "cand_id", "source", "label")]
+    assert names == features.PIPELINE_FEATURES
+    first = training.scored(model, frame).toPandas()
+    # Scores tell matches from the rest.
+    assert first[first.label == 1].score.mean() > 0.7 > 0.3 > first[first.label == 0].score.mean()
