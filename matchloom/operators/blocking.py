@@ -38,9 +38,11 @@ def candidates(keys: DataFrame, most: int = 100, left: str = "S1") -> DataFrame:
     return s.join(cap_blocks(t, most), ["rule", "key"]).select("s1_id", "cand_id").distinct()
 
 
-def pairs_with_rules(keys: DataFrame, left: str = "S1") -> DataFrame:
-    """(s1_id, cand_id, target, rule) for every key in common."""
+def pairs_with_rules(keys: DataFrame, left: str = "S1", most: int | None = None) -> DataFrame:
+    """(s1_id, cand_id, target, rule) for every key in common; with `most`, without target blocks of more rows."""
     s, t = sources(keys, left)
+    if most is not None:
+        t = cap_blocks(t, most)
     return s.join(t, ["rule", "key"]).select("s1_id", "cand_id", "target", "rule")
 
 

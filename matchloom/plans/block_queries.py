@@ -77,6 +77,15 @@ lists AS (SELECT e.entity_id AS source1_entity_id, list_sort(list_distinct(list_
   FROM ent e LEFT JOIN gt g ON e.entity_id = g.source1_entity_id WHERE e.source = 'S1' GROUP BY 1)"""
 
 
+#: Target blocks of more rows give no pairs.
+CAP = 100
+
+
+def capped(table: str) -> str:
+    """The target side of a table of keys without its large blocks."""
+    return f"(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY rule, key) AS bn FROM {table} WHERE source <> 'S1') WHERE bn <= {CAP})"
+
+
 def _faulty_lists(spark, d):
     """The lists, some of them with a repeated id, an id without a source, or an unknown or missing entity."""
     n = F.substring("source1_entity_id", 4, 20).cast("long")
@@ -186,11 +195,11 @@ def B2_select_to_parquet(spark, d):
     return spark.read.schema("source1_entity_id string, matched_entity_id string, target_source string").parquet(path)
 
 
-@query(S.with_(ENT, ENG, KEYS) + "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source AS target, rule FROM keys a JOIN keys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule = 'name_exact'")
+@query(S.with_(ENT, ENG, KEYS) + f"SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source AS target, rule FROM keys a JOIN {capped('keys')} b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule = 'name_exact'")
 def B3_pair_checkpoint(spark, d):
     """Pairs written once for the steps that pass over them more than once; made only where they aren't there."""
     path = folder(spark)
-    make = lambda: blocking.pairs_with_rules(_keys(spark, d).where("rule = 'name_exact'"))
+    make = lambda: blocking.pairs_with_rules(_keys(spark, d).where("rule = 'name_exact'"), most=CAP)
     tables.cached(spark, path, make)
     return tables.cached(spark, path, make)
 
@@ -341,11 +350,11 @@ def G8_block_cap(spark, d):
     return blocking.cap_blocks(_keys(spark, d).where("source <> 'S1'"), 5).select("entity_id", "rule", "key")
 
 
-@query(S.with_(ENT, MAT, MKEYS) + """, p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM mkeys a JOIN mkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1')
+@query(S.with_(ENT, MAT, MKEYS) + """, p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM mkeys a JOIN """ + capped("mkeys") + """ b USING (rule, key) WHERE a.source = 'S1')
 SELECT s1_id, cand_id, round(%s, 6) AS score FROM p JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id WHERE round(%s, 6) >= 0.5""" % ((S.jaccard("a.name_tokens", "b.name_tokens"),) * 2))
 def G9_threshold(spark, d):
     m = _mat(spark, d)
-    pairs = blocking.pairs_with_rules(_mkeys(spark, d)).select("s1_id", "cand_id").distinct()
+    pairs = blocking.pairs_with_rules(_mkeys(spark, d), most=CAP).select("s1_id", "cand_id").distinct()
     from ..functions.similarity import jaccard
 
     return blocking.with_records(pairs, m).select("s1_id", "cand_id", F.round(jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("score")).where("score >= 0.5")
@@ -392,13 +401,13 @@ def H2_candidates_capped(spark, d):
     return blocking.candidates(_keys(spark, d), 100)
 
 
-@query(S.with_(ENT, MAT, MKEYS) + """, p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM mkeys a JOIN mkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule = 'name_prefix6'),
+@query(S.with_(ENT, MAT, MKEYS) + """, p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM mkeys a JOIN """ + capped("mkeys") + """ b USING (rule, key) WHERE a.source = 'S1' AND rule = 'name_prefix6'),
 s AS (SELECT s1_id, cand_id, round(%s, 6) AS score FROM p JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id)
 SELECT s1_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM s) WHERE r <= 3""" % S.jaccard("a.name_tokens", "b.name_tokens"))
 def H3_block_by_key(spark, d):
     from ..functions.similarity import jaccard
 
-    pairs = blocking.pairs_with_rules(_mkeys(spark, d).where("rule = 'name_prefix6'")).select("s1_id", "cand_id").distinct()
+    pairs = blocking.pairs_with_rules(_mkeys(spark, d).where("rule = 'name_prefix6'"), most=CAP).select("s1_id", "cand_id").distinct()
     both = blocking.with_records(pairs, _mat(spark, d)).select("s1_id", "cand_id", F.round(jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("score"))
     return blocking.top_per_entity(both, F.col("score"), 3)
 
@@ -658,9 +667,9 @@ def I24_summary(spark, d):
 _RULES = ["rule_postal_name4", "rule_prefix6", "rule_exact_name", "rule_postal", "rule_token_pair"]
 
 
-@query(S.with_(ENT, PIPE, PKEYS) + ", p AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source, rule FROM pkeys a JOIN pkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule <> 'rule_token_pair') SELECT s1_id, cand_id, source, " + ", ".join(f"max(CASE WHEN rule = '{r}' THEN 1 ELSE 0 END) AS {r}" for r in _RULES) + " FROM p GROUP BY s1_id, cand_id, source")
+@query(S.with_(ENT, PIPE, PKEYS) + ", p AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source, rule FROM pkeys a JOIN " + capped("pkeys") + " b USING (rule, key) WHERE a.source = 'S1' AND rule <> 'rule_token_pair') SELECT s1_id, cand_id, source, " + ", ".join(f"max(CASE WHEN rule = '{r}' THEN 1 ELSE 0 END) AS {r}" for r in _RULES) + " FROM p GROUP BY s1_id, cand_id, source")
 def I25_rule_flags(spark, d):
-    return blocking.flagged(blocking.pairs_with_rules(_pkeys(spark, d).where("rule <> 'rule_token_pair'")), _RULES)
+    return blocking.flagged(blocking.pairs_with_rules(_pkeys(spark, d).where("rule <> 'rule_token_pair'"), most=CAP), _RULES)
 
 
 @query(S.with_(GT) + "SELECT source1_entity_id, array_to_string(list_sort(list_distinct(list(matched_entity_id))), ',') AS ids, count(*) AS n FROM gt GROUP BY 1")

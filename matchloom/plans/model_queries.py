@@ -8,7 +8,7 @@ from ..functions import similarity as sim
 from ..operators import blocking, evaluation, features, keys, submission, training
 from ..sources import sinks, tables
 from . import sqltext as S
-from .block_queries import _CAND, _mat, _mkeys, _pipe, _pkeys, _top, _TOPK, folder
+from .block_queries import _CAND, _mat, _mkeys, _pipe, _pkeys, _top, _TOPK, CAP, capped, folder
 from .projection import BIZ, ENT, GT, biz, ent, gt
 
 ENG, KEYS, MAT, MKEYS, PIPE, PKEYS = S.ENG, S.KEYS, S.MAT, S.MKEYS, S.PIPE, S.PKEYS
@@ -201,11 +201,11 @@ def M2_matcher_features(spark, d):
 
 
 def _pipe_pairs(spark, d):
-    pairs = blocking.pairs_with_rules(_pkeys(spark, d).where("rule IN ('rule_exact_name', 'rule_prefix6')"))
+    pairs = blocking.pairs_with_rules(_pkeys(spark, d).where("rule IN ('rule_exact_name', 'rule_prefix6')"), most=CAP)
     return blocking.with_records(blocking.flagged(pairs, ["rule_exact_name", "rule_prefix6"]), _pipe(spark, d))
 
 
-_PP = """, pp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM pkeys a JOIN pkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule IN ('rule_exact_name', 'rule_prefix6'))"""
+_PP = ", pp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM pkeys a JOIN " + capped("pkeys") + " b USING (rule, key) WHERE a.source = 'S1' AND rule IN ('rule_exact_name', 'rule_prefix6'))"
 
 
 def _contain(c: str) -> str:
@@ -248,14 +248,14 @@ _FRAME = ", l AS (SELECT s1_id, cand_id, CASE WHEN source1_entity_id IS NULL THE
 
 @query(
     S.with_(ENT, PIPE, PKEYS, GT)
-    + ", pp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM pkeys a JOIN pkeys b USING (rule, key) WHERE a.source = 'S1' AND b.source <> 'S1' AND rule IN ('rule_exact_name', 'rule_prefix6'))"
+    + ", pp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM pkeys a JOIN " + capped("pkeys") + " b USING (rule, key) WHERE a.source = 'S1' AND rule IN ('rule_exact_name', 'rule_prefix6'))"
     + _FRAME
     + """ SELECT s1_id, cand_id, label FROM l WHERE label = 1 UNION ALL SELECT s1_id, cand_id, label FROM (
   SELECT *, row_number() OVER (ORDER BY md5(s1_id || '|' || cand_id || '|42')) AS r FROM l WHERE label = 0) WHERE r <= 8 * (SELECT count(*) FROM l WHERE label = 1)"""
 )
 def N3_training_frame(spark, d):
     """Every labelled row of the training frame."""
-    pairs = blocking.pairs_with_rules(_pkeys(spark, d).where("rule IN ('rule_exact_name', 'rule_prefix6')")).select("s1_id", "cand_id").distinct()
+    pairs = blocking.pairs_with_rules(_pkeys(spark, d).where("rule IN ('rule_exact_name', 'rule_prefix6')"), most=CAP).select("s1_id", "cand_id").distinct()
     return training.training_frame(pairs, gt(spark, d)).select("s1_id", "cand_id", "label")
 
 
