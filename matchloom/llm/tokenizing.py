@@ -4,10 +4,12 @@ A text of ASCII and Latin-1 letters, whose classes are certain, is cut into pre-
 own pattern. In other texts this holds for the chunks between white space, across which the tokenizer never
 joins characters; a chunk with any other character is one pre-token here and encoded by the library.
 Ids of pre-tokens come from a bounded cache. Texts that hold one of the special strings are encoded
-whole by the library."""
+whole by the library, and so are all texts where the file's normalizer and pre-tokenizer are others than those
+that this module knows."""
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -16,6 +18,15 @@ _LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
 _PIECES = re.compile(
     rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+"
 ).findall
+#: What a file must say of how it normalizes texts and cuts them, for the cutting here to be its own.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Pre-tokens that an encoder keeps, some 150 bytes each.
 CACHE = 400_000
 #: Longer pre-tokens are encoded but not kept.
@@ -56,6 +67,12 @@ def load(path: str | None = None) -> str:
         return f.read()
 
 
+def is_known(tokenizer_json: str) -> bool:
+    """Whether the file cuts texts as pretokens does."""
+    own = json.loads(tokenizer_json)
+    return own.get("normalizer") == _NORMALIZER and own.get("pre_tokenizer") == _PRE_TOKENIZER and own.get("model", {}).get("type") == "BPE"
+
+
 class _Cache(dict):
     """Bounded: emptied to its seed when it is full."""
 
@@ -86,6 +103,7 @@ class ChunkEncoder:
         self.plain = Tokenizer.from_str(tokenizer_json)
         self.plain.encode_special_tokens = True
         self.model = self.plain.model
+        self.known = is_known(tokenizer_json)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.ids_of = _Cache(self._encoded, cache)
         self.count_of = _Cache(lambda c: len(self._encoded(c)) >> 2, cache, seed)
@@ -103,26 +121,36 @@ class ChunkEncoder:
         low = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
         return self._packed([t.id for t in self.model.tokenize(low)])
 
-    def _is_special(self, text: bytes) -> bool:
-        return b"<|" in text and any(s in text for s in self.special)
+    def _is_whole(self, text: bytes) -> bool:
+        """Whether the library has to see the text as it is."""
+        return not self.known or any(s in text for s in self.special)
 
     def ids(self, text: bytes) -> bytes:
-        if self._is_special(text):
+        if self._is_whole(text):
             return self._packed(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         return b"".join(map(self.ids_of.__getitem__, pretokens(text)))
 
     def count(self, text: bytes) -> int:
-        if self._is_special(text):
+        if self._is_whole(text):
             return len(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         return sum(map(self.count_of.__getitem__, pretokens(text)))
 
 
+def id_bytes(tokenizer_json: str) -> int:
+    """Bytes that hold any of the file's ids: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size() <= 1 << 16 else 4
+
+
 _own: dict[tuple, ChunkEncoder] = {}
 
 
-def worker_encoder(tokenizer_json: str, cache: int = CACHE, seed: dict[bytes, int] | None = None) -> ChunkEncoder:
-    """This Python process's encoder, with what it has cached in earlier tasks; the last one asked for is kept."""
-    key = (hash(tokenizer_json), cache, hash(frozenset((seed or {}).items())))
+def worker_encoder(tokenizer_json: str, cache: int = CACHE, name: str = "", seed: dict[bytes, int] | None = None) -> ChunkEncoder:
+    """This Python process's encoder, with what it has cached in earlier tasks; the last one asked for is kept.
+
+    name tells one seed from another."""
+    key = (hash(tokenizer_json), cache, name)
     if key not in _own:
         _own.clear()
         _own[key] = ChunkEncoder(tokenizer_json, cache, seed)
