@@ -193,6 +193,14 @@ def coverage(features: DataFrame, by: str = "source") -> DataFrame:
     return features.groupBy(by).agg(F.round(F.avg((F.col("postal") != "").cast("double")), 6).alias("postal_share"), F.count_distinct(ID).alias("entities"))
 
 
+def top_values(records: DataFrame, columns=("business_name", "business_address", "country"), most: int = 20) -> DataFrame:
+    """(column, value, n, rank): the most frequent values of each column, ties in their order; nulls don't count.
+
+    Of each column's counts the best are kept before they meet."""
+    values = records.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.*")
+    return top_by_group(values.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n")), "column", most)
+
+
 def top_by_group(counts: DataFrame, by: str, most: int) -> DataFrame:
     """The most frequent rows of each group."""
     w = Window.partitionBy(by).orderBy(F.desc("n"), *[c for c in counts.columns if c not in (by, "n")])

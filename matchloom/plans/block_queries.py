@@ -579,6 +579,20 @@ def I13_column_profile(spark, d):
     return profile.column_profile(ent(spark, d).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("business_name", "business_address")}))
 
 
+@query(
+    S.with_(ENT)
+    + """, v AS (SELECT unnest([{'c': 'business_name', 'v': business_name}, {'c': 'business_address', 'v': business_address}, {'c': 'country', 'v': country}], recursive := true) FROM ent)
+SELECT c AS "column", v AS value, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS rank FROM v WHERE v IS NOT NULL GROUP BY c, v QUALIFY rank <= 20"""
+)
+def I13_top_values(spark, d):
+    return profile.top_values(ent(spark, d))
+
+
+@query(S.with_(ENT) + "SELECT source, count(DISTINCT entity_id) AS entities, count(DISTINCT country) AS countries FROM ent GROUP BY source")
+def I13_distinct_ids(spark, d):
+    return ent(spark, d).groupBy("source").agg(F.count_distinct("entity_id").alias("entities"), F.count_distinct("country").alias("countries"))
+
+
 @query(S.with_(BIZ) + f", v AS (SELECT {S.script('x', D.SCRIPTS, 'EMPTY', False)} AS script FROM (SELECT business_name AS x FROM biz UNION ALL SELECT business_address FROM biz)) SELECT script, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM v GROUP BY script")
 def I14_script_distribution(spark, d):
     return profile.script_distribution(biz(spark, d), scripts.script_profile)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import submission
-from matchloom.plans import linkage
+from matchloom.plans import linkage, reports
 from matchloom.sources import sinks, tables
 from matchloom.streaming import keys as stream
 
@@ -120,6 +120,17 @@ def test_stream(spark, files, tmp_path):
     assert got.count() == got.distinct().count() > 240
 
 
+def test_reports(spark, files, tmp_path):
+    records = tables.read_records(spark, str(files / "S1.tsv")).union(tables.read_records(spark, str(files / "S2.tsv")))
+    lists = tables.truth_lists(tables.read_tsv(spark, str(files / "truth.tsv"), tables.TRUTH))
+    found = reports.run(spark, records, lists, str(tmp_path / "out"))
+    assert found == sinks.read_json(spark, str(tmp_path / "out/summary.json")) and found["s1_records"] == found["ground_truth_records"] == 120
+    assert found["s1_singletons"] + found["s1_with_matches"] == 120 and found["total_source_records"] == records.count()
+    assert found["s2_only_entities"] + found["s3_only_entities"] + found["both_sources_entities"] == found["s1_with_matches"]
+    for name in ("script_distribution", "top_tokens", "abbreviations", "columns", "top_values"):
+        assert spark.read.option("header", True).csv(str(tmp_path / f"out/s2_{name}")).count() > 0
+
+
 def test_early_stopping_bites(spark, sf_dir):
     from matchloom.operators import features, training
     from matchloom.plans import model_queries
