@@ -22,6 +22,15 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def places(line: bytes, run: bytes):
+    """Where the words of ' a b ' begin in ' ' + words, each with a blank after it, counted in words."""
+    before, word, at = 0, 0, line.find(run)
+    while at >= 0:
+        word += line.count(b" ", before, at)
+        yield word
+        before, at = at, line.find(run, at + 1)
+
+
 @dataclass
 class Seq:
     items: list = field(default_factory=list)
@@ -75,7 +84,6 @@ class Automaton:
         lead = seq.items[:first]
         if any(isinstance(x, Replaceable) and x.least != 0 and x.least is None for x in lead):
             first = 0  # one of stated wordings must stand there
-        self.items = seq.items[first : must[-1] + 1]
         run = []
         for x in seq.items[must[0] :]:
             if not isinstance(x, bytes):
@@ -149,36 +157,14 @@ class Automaton:
         return self.end in now
 
     def found(self, text: list[bytes], line: bytes) -> bool:
-        at = line.find(self.anchor)
-        while at >= 0:
-            i = line.count(b" ", 0, at)
+        for i in places(line, self.anchor):
             if not self.lead:
                 if self.accepts_at(text, i, self.start):
                     return True
             elif any(tuple(text[i - n : i]) == c for c in self.lead_words if (n := len(c)) <= i) and self.accepts_at(text, i, self.after_lead):
                 return True
-            at = line.find(self.anchor, at + 1)
         return False
 
-    def regex(self) -> str:
-        """The same search over ' ' + words, each with a blank after it, as one regular expression."""
-
-        def of(items) -> str:
-            out = ""
-            for x in items:
-                if isinstance(x, bytes):
-                    out += x.decode() + " "
-                elif isinstance(x, Optional):
-                    out += f"(?:{of(x.body.items)})?"
-                else:
-                    parts = ["".join(w.decode() + " " for w in c) for c in x.choices]
-                    if x.most is not None:
-                        parts.append(f"(?:[^ ]+ ){{{x.least},{x.most}}}")
-                    out += f"(?:{'|'.join(parts)})"
-            return out
-
-        return " " + of(self.items)
-
 
 def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
@@ -188,8 +174,9 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "
     template is a token automaton: it adds its label where all mandatory wording stands exactly, with its
     optional regions present or not and its replaceable ones filled as they allow. score: 1 where a
     template accepts, 0.5 where only a phrase stands, else 0. Null and empty texts give zeros, null
-    places and empty labels; repeated rows each give a row; an empty table gives none. There is no
-    shuffle, and a text is read whole, once; the automata run only where a template's opening words stand."""
+    places and empty labels; repeated rows and rows with a null id each give a row; an empty table gives none; other
+    columns are not read. There is no shuffle, and a text is read whole, once; the automata run only where a
+    template's opening words stand. What stands before or after a template's wording doesn't matter."""
     bounded_batches(docs)
     automata = [(label, Automaton(t)) for label, t in (TEMPLATES if templates is None else templates)]
     plain = [(b" " + b" ".join(words(p.encode())) + b" ", label) for p, label in (PHRASES if phrases is None else phrases)]
@@ -201,16 +188,14 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "
             return 0, 0, None, None, "", "", 0.0
         own = words(text)
         line = b" " + b" ".join(own) + b" "
-        places, base = [], set()
+        n, first, last, base = 0, None, None, set()
         for phrase, label in plain:
-            at = line.find(phrase)
-            while at >= 0:
-                places.append(line.count(b" ", 0, at))
+            for i in places(line, phrase):
+                n, first, last = n + 1, i if first is None else min(first, i), i if last is None else max(last, i)
                 base.add(label)
-                at = line.find(phrase, at + 1)
         added = {label for label, a in automata if a.found(own, line)}
         score = 1.0 if added else 0.5 if base else 0.0
-        return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), score
+        return len(own), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | added)), score
 
     def scanned(batches):
         for batch in batches:
@@ -219,25 +204,3 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "
 
     schema = f"`{id_col}` {sql_type(docs, id_col)}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select(id_col, text_col).mapInArrow(scanned, schema)
-
-
-def oracle_sql() -> str:
-    """The scan as DuckDB SQL, with each template as a regular expression."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    place = lambda ws: " AND ".join(f"w[i + {n + 1}] = '{x}'" for n, x in enumerate(ws.split()))
-    found = ",\n  ".join(f"list_filter(range(len(w)), lambda i: {place(p)}) AS p{n}" for n, (p, _) in enumerate(PHRASES))
-    base = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(PHRASES))
-    added = ", ".join(f"CASE WHEN regexp_matches(line, '{Automaton(t).regex()}') THEN '{label}' END" for label, t in TEMPLATES)
-    every = " || ".join(f"p{n}" for n in range(len(PHRASES)))
-    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda z: z IS NOT NULL))), ',')"
-    return f"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-p AS (
-  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line,
-  {found} FROM d),
-l AS (SELECT doc_id, len(w) AS n_words, {every} AS places, [{base}] AS b, [{added}] AS t FROM p)
-SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
-  {joined("b")} AS base_labels, {joined("b || t")} AS labels,
-  CASE WHEN len(list_filter(t, lambda z: z IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM l
-"""
