@@ -138,8 +138,8 @@ def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
     """Languages, cosines and rejections of texts."""
     lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
     lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-    for begin in range(0, len(lettered), 256):
-        part = lettered[begin : begin + 256]
+    for begin in range(0, len(lettered), 64):
+        part = lettered[begin : begin + 64]
         near, cosine = model.nearest(np.stack([ngram_counts(texts[i].encode("utf-8", "replace")) for i in part]).astype(np.float32))
         for i, n, c in zip(part, near.tolist(), cosine.tolist()):
             lang[i], score[i], out[i] = model.languages[n], c, c < model.floors[n]

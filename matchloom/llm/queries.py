@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, licenses, lm_scoring, mixing, near_dedup, packing, token_counts, topk, training_order
+from . import exact_dedup, language_id, license_oracle, licenses, lm_scoring, mixing, near_dedup, packing, token_counts, topk, training_order
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_power_of_two(_read(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _fold(divisor: int, remainder: int):
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), columns=["doc_id"])
     return mixed.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
@@ -60,4 +60,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_exact_topk, op4_mixing, op5_lm_scoring, op6_language_id, op7_training_order, op8_exact_dedup, op9_token_counts, op10_license_scan)}
-ORACLE_SQL = {"op2_minhash": near_dedup.ORACLE_SQL, "op3_exact_topk": topk.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_license_scan": licenses.oracle_sql()}
+ORACLE_SQL = {"op2_minhash": near_dedup.ORACLE_SQL, "op3_exact_topk": topk.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_license_scan": license_oracle.ORACLE_SQL}
