@@ -22,6 +22,12 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return out
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """pack_power_of_two's pieces as Parquet, a folder bucket=<n> for each length 2^n: a batch of one length is read
+    from one folder. Each task writes a file for each length that it has; there is no shuffle."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def pack_power_of_two(
     docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = tokenizing.CACHE
 ) -> DataFrame:
@@ -30,8 +36,9 @@ def pack_power_of_two(
     Columns: the id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket (base-2
     logarithm of the length), sequence_id, offset (always 0). As every length is a power of two at most
     `longest`, no sequence needs padding and none holds two documents; sequences of one length have
-    adjacent ids. There is no shuffle. A null or empty text is the end id alone; repeated rows, and
-    rows with a null id, are packed like any other; an empty table gives no rows."""
+    adjacent ids, and write_buckets puts them together. There is no shuffle. A null or empty text is the end id
+    alone; repeated rows, and rows with a null id, are packed like any other; an empty table gives no rows; other
+    columns are not read."""
     bounded_batches(docs)
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
