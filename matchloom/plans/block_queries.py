@@ -54,6 +54,13 @@ def _mkeys(spark, d):
     return keys.keys_matcher(_mat(spark, d))
 
 
+def mat_once(spark, d):
+    """The matcher's records, written: queries that join them several times normalise the texts once."""
+    path = folder(spark)
+    sinks.write_parquet(_mat(spark, d), path)
+    return spark.read.parquet(path)
+
+
 def _pipe(spark, d):
     return keys.pipeline_features(ent(spark, d))
 
@@ -353,8 +360,8 @@ def G8_block_cap(spark, d):
 @query(S.with_(ENT, MAT, MKEYS) + """, p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM mkeys a JOIN """ + capped("mkeys") + """ b USING (rule, key) WHERE a.source = 'S1')
 SELECT s1_id, cand_id, round(%s, 6) AS score FROM p JOIN mat a ON a.entity_id = s1_id JOIN mat b ON b.entity_id = cand_id WHERE round(%s, 6) >= 0.5""" % ((S.jaccard("a.name_tokens", "b.name_tokens"),) * 2))
 def G9_threshold(spark, d):
-    m = _mat(spark, d)
-    pairs = blocking.pairs_with_rules(_mkeys(spark, d), most=CAP).select("s1_id", "cand_id").distinct()
+    m = mat_once(spark, d)
+    pairs = blocking.pairs_with_rules(keys.keys_matcher(m), most=CAP).select("s1_id", "cand_id").distinct()
     from ..functions.similarity import jaccard
 
     return blocking.with_records(pairs, m).select("s1_id", "cand_id", F.round(jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("score")).where("score >= 0.5")
@@ -407,8 +414,9 @@ SELECT s1_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_
 def H3_block_by_key(spark, d):
     from ..functions.similarity import jaccard
 
-    pairs = blocking.pairs_with_rules(_mkeys(spark, d).where("rule = 'name_prefix6'"), most=CAP).select("s1_id", "cand_id").distinct()
-    both = blocking.with_records(pairs, _mat(spark, d)).select("s1_id", "cand_id", F.round(jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("score"))
+    m = mat_once(spark, d)
+    pairs = blocking.pairs_with_rules(keys.keys_matcher(m).where("rule = 'name_prefix6'"), most=CAP).select("s1_id", "cand_id").distinct()
+    both = blocking.with_records(pairs, m).select("s1_id", "cand_id", F.round(jaccard(F.col("a.name_tokens"), F.col("b.name_tokens")), 6).alias("score"))
     return blocking.top_per_entity(both, F.col("score"), 3)
 
 
@@ -728,8 +736,9 @@ top AS (SELECT s1_id, cand_id, source, score FROM (SELECT *, row_number() OVER (
 """ % (S.jaccard("a.name_tokens", "b.name_tokens"), S.jaccard("a.address_tokens", "b.address_tokens"))
 
 
-def _top(spark, d):
-    return blocking.topk_candidates(_mkeys(spark, d), _mat(spark, d).select("entity_id", *features.JACCARD_COLUMNS), features.jaccard_score, 30, 10)
+def _top(spark, d, mat=None):
+    mat = mat_once(spark, d) if mat is None else mat
+    return blocking.topk_candidates(keys.keys_matcher(mat), mat.select("entity_id", *features.JACCARD_COLUMNS), features.jaccard_score, 30, 10)
 
 
 @query(S.with_(ENT, MAT, MKEYS) + _TOPK + "SELECT * FROM top")

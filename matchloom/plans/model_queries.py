@@ -8,7 +8,7 @@ from ..functions import similarity as sim
 from ..operators import blocking, evaluation, features, keys, submission, training
 from ..sources import sinks, tables
 from . import sqltext as S
-from .block_queries import _CAND, _mat, _mkeys, _pipe, _pkeys, _top, _TOPK, CAP, capped, folder
+from .block_queries import _CAND, _pipe, _pkeys, _top, _TOPK, CAP, capped, folder, mat_once
 from .projection import BIZ, ENT, GT, biz, ent, gt
 
 ENG, KEYS, MAT, MKEYS, PIPE, PKEYS = S.ENG, S.KEYS, S.MAT, S.MKEYS, S.PIPE, S.PKEYS
@@ -156,7 +156,8 @@ def L8_safe_ratio(spark, d):
 
 def _pairs(spark, d):
     """Candidates with both matcher records."""
-    return blocking.with_records(_top(spark, d), _mat(spark, d))
+    mat = mat_once(spark, d)
+    return blocking.with_records(_top(spark, d, mat), mat)
 
 
 def _scores_of(pairs: str) -> str:
