@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
     Only where neither that setting nor a checkpoint folder is set, and Spark runs inside one
-    machine, a temporary folder is made and set (as in tests)."""
+    machine, a temporary folder is made and set (as in tests); it goes with the driver."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir"):
         return path.rstrip("/")
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="matchloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
