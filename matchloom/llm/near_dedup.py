@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import all_columns, bounded_batches, sql_type, written
@@ -133,10 +133,20 @@ def _tested(pairs: DataFrame, marks: DataFrame, threshold: float, miss: float) -
     return both.mapInArrow(test, "a long, b long")
 
 
-def _likely_in(rows: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows whose id is in ids, and a few others: texts that no pair asks for are not shuffled.
+#: Up to so many ids (some 32 MB) are broadcast as they are, which keeps a second Python worker out of the stage.
+FEW_IDS = 1 << 20
 
-    A bit for each hash of an id, 2^bits in all: that is what reaches the driver, however many ids there are."""
+
+def _asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in the written table ids, and beyond FEW_IDS a few others, which a join then leaves
+    out: texts that no pair asks for are not shuffled.
+
+    Many ids are told by a bit for each hash of one, some eight for each id and at most 2^27 (16 MB): that is what
+    reaches the driver and the tasks, however many there are."""
+    n = ids.count()
+    if n <= FEW_IDS:
+        return rows.join(F.broadcast(ids), "id", "left_semi")
+    bits = min(27, max(20, (8 * n).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
     table = np.zeros(1 << (bits - 6), np.uint64)
@@ -152,51 +162,122 @@ def _likely_in(rows: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
     return rows.where(asked(slot))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity; texts: (id, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = written(_likely_in(texts, ids).join(ids, "id", "left_semi"), "texts")
-    both = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(some.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
+def _sets(ids: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the written table ids, from one look at the texts (id, text).
+
+    Where rows with one id differ, it is the set that marks has for the id."""
+
+    def made(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield _batch({"id": batch.column(0), "same": pa.array(digests, pa.binary()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    asked = ids.join(marks.select("id", "same"), "id")
+    found = _asked(texts, ids).mapInArrow(made, "id long, same binary, shingles binary")
+    return written(found.join(asked, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+
+
+#: Members that are checked against a hub in one group.
+A_HUB = 256
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The written pairs (a, b) whose whole shingle sets reach the similarity; texts: (id, text).
+
+    A hub's set goes once to each group of some A_HUB members, which are streamed past it."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    sets = _sets(ids, marks, texts)
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / A_HUB).alias("groups"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    dealt = written(dealt, "dealt")
+    hubs = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "shingles")
+    members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "shingles")
+    met = hubs.union(members).repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def check(batches):
-        known, own = None, np.empty(0, np.uint64)
+        own = np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for i, (a, t_a, t_b) in enumerate(zip(*(batch.column(c).cast(pa.binary()).to_pylist() if c > 1 else batch.column(c).to_pylist() for c in (0, 2, 3)))):
-                if a != known:
-                    known, own = a, shingle_set(t_a)
-                other = shingle_set(t_b)
+            for i, (side, x) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+                other = np.frombuffer(x, np.uint64)
+                if not side:
+                    own = other
+                    continue
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 if DENOMINATOR * common >= NUMERATOR * (len(own) + len(other) - common):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
+    return met.mapInArrow(check, "a long, b long")
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v), v the smaller, that join what links (a, b) join: within each task every id is tied to the
+    smallest that it can reach there, some 200,000 links at a time."""
+
+    def ties(batches):
+        at: dict[int, int] = {}
+
+        def root(x):
+            while (up := at.setdefault(x, x)) != x:
+                at[x] = at[up]
+                x = at[x]
+            return x
+
+        def out():
+            rows = [(x, r) for x in at if (r := root(x)) != x]
+            at.clear()
+            return _batch({"u": pa.array([x for x, _ in rows], pa.int64()), "v": pa.array([r for _, r in rows], pa.int64())})
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = root(a), root(b)
+                if a != b:
+                    at[max(a, b)] = min(a, b)
+            if len(at) > 200_000:
+                yield out()
+        yield out()
+
+    return links.select("a", "b").mapInArrow(ties, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (a, b): the smallest id that can be reached.
+    """(id, component) for every id in links (a, b) but the components' own: the smallest id that can be reached.
 
-    Large-star and small-star steps in turn, each an aggregate and a join, until no link changes. Every
-    step's links are written to the shared folder."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, "links")
-    before = None
+    Links are contracted within each task first. Then large-star and small-star steps in turn, each an aggregate
+    and a join whose result is written, until every id has one link and no link's smaller end has one."""
+    edges = written(_contracted(links).distinct(), "links")
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+        if ends.where("up > 1 OR up > 0 AND top > 0").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         # Large star: every larger neighbour is tied to the smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         # Small star: every smaller neighbour, and the node, is tied to the smallest one.
-        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+        edges = written(large.join(low, "u").select(tied.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "links")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that found doesn't have in one component, with the components c_a and c_b."""
+    for c in "ab":
+        own = found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+        pairs = pairs.join(own, c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    return pairs.where("c_a <> c_b")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found after the written links (a, b) between components, which are few: only components are tied anew."""
+    if links.isEmpty():
+        return found
+    ties = components(_apart(links, found).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    moved = found.join(ties.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return written(moved.select("id", F.coalesce("to", "component").alias("component")).union(ties), "found")
 
 
 def _by_group(make):
@@ -222,14 +303,40 @@ def _by_group(make):
     return groups
 
 
-def _doubtful(members: DataFrame, threshold: float, miss: float) -> DataFrame:
+#: Rows of a bucket that meet in one block: at first, and where a bucket has over 64 such blocks; and shingles in one.
+BLOCK, WIDE_BLOCK, BLOCK_SHINGLES = 512, 8192, 1 << 21
+#: Sizes of sets fall in classes by this ratio, so that sets that can be similar are at most one class apart.
+SIZE_RATIO = 1.34
+
+
+def _size_class(n: str):
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(SIZE_RATIO)).cast("int")
+
+
+def _blocks(n, size):
+    """The number of blocks for n sets of a size class: what a block holds is bounded in rows and in bytes, and
+    a set's copies grow with the root of a large bucket's size class, not with it."""
+    fit = F.lit(BLOCK_SHINGLES) / F.pow(F.lit(SIZE_RATIO), size + 1)
+    of = lambda rows: F.ceil(n / F.greatest(F.lit(1.0), F.least(F.lit(float(rows)), fit)))
+    return F.greatest(of(WIDE_BLOCK), F.least(of(BLOCK), F.lit(64))).cast("int")
+
+
+def _doubtful(members: DataFrame, marks: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(bucket, low, high, own, id, component, n_shingles): members that the test leaves with another of their bucket.
 
-    members: (bucket, many, hub, id, component, n_shingles, signature), without the hubs. The rows of a bucket are dealt
-    to blocks of about BLOCK rows and each pair of blocks is one group, so no task holds a whole large bucket. A
-    member is given once for a group, however many others of other components it may be like."""
-    parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    members: (bucket, size, id, component), without the hubs. Buckets of one component are left out. The
+    rows of a bucket's size class are dealt to blocks, and each pair of blocks of one class or of neighbouring ones is a
+    group, so no task holds a whole large bucket and sets too unlike in size never meet. A member is given once
+    for a group, however many others of other components it may be like."""
+    units = members.groupBy("bucket", "size").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    units = units.select("bucket", "x", "y", F.struct("size", _blocks(F.col("n"), F.col("size")).alias("blocks")).alias("unit"))
+    mixed = units.groupBy("bucket").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.map_from_entries(F.collect_list("unit")).alias("blocks")).where("x <> y")
+    # Signatures come before a row is copied to its blocks.
+    rows = members.join(mixed.select("bucket", "blocks"), "bucket").join(marks.select("id", "n_shingles", "signature"), "id")
+    rows = rows.withColumn("own", F.expr("shiftleft(cast(size as long), 32) + pmod(xxhash64(id), blocks[size])"))
+    unit = "transform(sequence(0, {n} - 1), i -> shiftleft(cast({k} as long), 32) + i)"
+    every = [f"CASE WHEN blocks[{k}] IS NOT NULL THEN {unit.format(n=f'blocks[{k}]', k=k)} ELSE array() END" for k in ("size", "size + 1", "size - 1")]
+    dealt = rows.withColumn("other", F.explode(F.expr(f"concat({', '.join(every)})"))).drop("blocks")
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n_shingles")
     names = ["bucket", "low", "high", "own", "id", "component", "n_shingles"]
@@ -253,23 +360,16 @@ def _doubtful(members: DataFrame, threshold: float, miss: float) -> DataFrame:
         for group in _by_group(marked)(batches):
             yield from group
 
-    schema = "bucket long, low int, high int, own int, id long, component long, n_shingles long"
+    schema = "bucket long, low long, high long, own long, id long, component long, n_shingles long"
     return dealt.select(*names, "signature").mapInArrow(flat, schema)
 
 
-def _joining_links(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
+def _joining_links(doubtful: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join the components in each group, checked on the sets of whole texts.
 
     A group's pairs are checked where they stand, sizes first, and a pair that the links found so far already
     join is passed over; so a group gives fewer links than it has members, whatever the number of its pairs."""
-    ids = doubtful.select("id").distinct()
-
-    def made(batches):
-        for batch in batches:
-            sets = [shingle_set(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield _batch({"id": batch.column(0), "shingles": pa.array(sets, pa.binary())})
-
-    sets = written(_likely_in(texts, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(made, "id long, shingles binary"), "sets")
+    sets = _sets(written(doubtful.select("id").distinct(), "asked"), marks, texts)
     rows = doubtful.join(sets, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n_shingles")
 
     def joined(table: pa.Table):
@@ -299,27 +399,18 @@ def _joining_links(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("bucket", "low", "high", "id", "component", "n_shingles", "shingles").mapInArrow(_by_group(joined), "a long, b long")
 
 
-BLOCK = 512
 #: Bands whose stars are met first; most members of a large group are joined by them.
 FIRST = 6
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that found doesn't have in one component."""
-    for c in "ab":
-        own = found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-        pairs = pairs.join(own, c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    return pairs.where("c_a <> c_b")
-
-
 def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
     Documents are linked when their sets of distinct five-word shingles have a Jaccard similarity of 0.75
     or more; component_id is the smallest id that links reach, kept marks the document that has it. Null and
     empty texts, and blank ones, have no shingles and no links. A row with a null id stays alone, with a null
-    component, and is kept. Rows with one id count as one document and should hold one text; an empty table
-    gives no rows; other columns are not read.
+    component, and is kept. Rows with one id count as one document; where their texts differ, one of them, chosen by
+    its digest, stands for it in links. An empty table gives no rows; other columns are not read.
 
     1. Equal sets become one class, known by its smallest id, so exact copies never meet as pairs.
     2. Every class puts its MinHash bands into buckets. In each bucket of the first FIRST bands the smallest id
@@ -338,35 +429,34 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, id_col: str = "doc_id",
     filled = made.where("same IS NOT NULL AND id IS NOT NULL")
     classes = written(filled.groupBy("same").agg(F.min("id").alias("class")), "classes")
     member = written(made.select("id", "n_shingles", "same").join(classes, "same", "left").select("id", "n_shingles", "class"), "members")
-    heads = member.where("id = class").select("id").distinct()
-    marks = filled.join(heads, "id", "left_semi").dropDuplicates(["id"])
-    marks = written(marks.select("id", "n_shingles", "signature", "bands"), "marks")
-    placed = marks.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("many"), F.min("id").alias("hub")).where("many > 1")
-    inside = written(placed.join(shared, "bucket").select("bucket", "band", "many", "hub", "id"), "buckets")
+    # The smallest digest decides where rows with one id differ.
+    first = F.row_number().over(Window.partitionBy("id").orderBy("same"))
+    heads = classes.select(F.col("class").alias("id"), "same").withColumn("n", first).where("n = 1").drop("n")
+    marks = filled.join(heads, ["id", "same"], "left_semi").dropDuplicates(["id"])
+    marks = written(marks.select("id", "n_shingles", "same", "signature", "bands"), "marks")
+    placed = marks.select("id", _size_class("n_shingles").alias("size"), F.posexplode("bands").alias("band", "bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("many"), F.min("id").alias("hub")).where("many > 1").drop("many")
+    inside = written(placed.join(shared, "bucket").select("bucket", "band", "size", "hub", "id"), "buckets")
     texts = texts.where("id IS NOT NULL")
 
     def linked(pairs):
-        return _verified(written(_tested(pairs.select("a", "b").distinct(), marks, threshold, miss), "candidates"), texts)
+        return written(_verified(written(_tested(pairs.select("a", "b").distinct(), marks, threshold, miss), "candidates"), marks, texts), "stars")
 
     stars = inside.where("id <> hub").select("band", F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = written(linked(stars.where(F.col("band") < FIRST)), "stars")
-    found = components(links)
-    links = links.union(written(linked(_apart(stars.where(F.col("band") >= FIRST), found)), "stars"))
-    found = components(links)
-    labelled = inside.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("bucket")
-    rest = labelled.where("id <> hub").join(mixed, "bucket", "left_semi").join(marks.select("id", "n_shingles", "signature"), "id")
-    doubtful = written(_doubtful(rest, threshold, miss), "doubtful")
-    if doubtful.limit(1).count():
-        found = components(links.union(written(_joining_links(doubtful, texts), "across")))
+    found = components(linked(stars.where(F.col("band") < FIRST)))
+    found = _joined(found, linked(_apart(stars.where(F.col("band") >= FIRST), found)))
+    labelled = inside.where("id <> hub").join(found, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
+    doubtful = written(_doubtful(labelled, marks, threshold, miss), "doubtful")
+    if not doubtful.isEmpty():
+        found = _joined(found, written(_joining_links(doubtful, marks, texts), "across"))
     out = member.join(found.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "id")
     return out.select(F.col("id").cast(sql_type(docs, id_col)).alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with their columns, that near_duplicates keeps."""
+    """The rows of docs, with their columns, whatever their names, that near_duplicates keeps; see there for nulls,
+    texts without words, rows with one id and empty tables."""
     dropped = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("NOT kept").select(id_col)
     return docs.join(dropped, id_col, "left_anti").select(*all_columns(docs))
 
