@@ -74,17 +74,21 @@ def is_known(tokenizer_json: str) -> bool:
 
 
 class _Cache(dict):
-    """Bounded: emptied to its seed when it is full."""
+    """Bounded: when it holds half its limit, what it has becomes the older half and is asked before a value is
+    made again, so that what is met often stays."""
 
     def __init__(self, make, limit: int, seed: dict | None = None):
         super().__init__(seed or {})
-        self.make, self.seed = make, seed or {}
-        self.limit = limit + len(self.seed)
+        self.make, self.seed, self.older = make, seed or {}, {}
+        self.half = max(1, limit // 2) + len(self.seed)
 
     def __missing__(self, key: bytes):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
                 self.update(self.seed)
             self[key] = value
