@@ -37,8 +37,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in pieces of power-of-two lengths; a null or empty text is one piece, the end id."""
-    return packing.pack_power_of_two(docs)
+    """Every document in pieces of power-of-two lengths; a null or empty text is one piece, the end id.
+
+    The workers' caches are smaller than op1's, as they stay in memory beside what the other stages need."""
+    return packing.pack_power_of_two(docs, cache=100_000)
 
 
 STAGES = [("language", language), ("copies", copies), ("near_copies", near_copies), ("mixture", mixture), ("packed", packed)]
