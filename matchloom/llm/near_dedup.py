@@ -235,20 +235,25 @@ def _contracted(links: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 if a != b:
                     at[max(a, b)] = min(a, b)
-            if len(at) > 200_000:
+            if len(at) > 2 * 100_000:
                 yield out()
         yield out()
 
     return links.select("a", "b").mapInArrow(ties, "u long, v long")
 
 
+#: Up to so many links are tied in one task; a task of _contracted holds twice as many ids.
+ONE_TASK = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b) but the components' own: the smallest id that can be reached.
 
-    Links are contracted within each task first. Then large-star and small-star steps in turn, each an aggregate
-    and a join whose result is written, until every id has one link and no link's smaller end has one."""
+    Links are contracted within each task first; a few that are left are then contracted in one task. Of more,
+    large-star and small-star steps are made in turn, each an aggregate and a join whose result is written, until
+    few are left or every id has one link and no link's smaller end has one."""
     edges = written(_contracted(links).distinct(), "links")
-    while True:
+    while edges.count() > ONE_TASK:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
         ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
         if ends.where("up > 1 OR up > 0 AND top > 0").isEmpty():
@@ -261,6 +266,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
         edges = written(large.join(low, "u").select(tied.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "links")
+    edges = written(_contracted(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)), "tied")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
