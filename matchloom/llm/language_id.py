@@ -68,16 +68,21 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(sample: Sample, clusters: int = 3, slack: float = 0.35) -> Centroids:
-    """From the counts of labelled documents.
+    """From the counts of labelled documents, one language after the other.
 
     A language's floor is `slack` times the cosine that its least typical hundredth of the sample has."""
-    names = np.array(sample.languages)
-    languages, counts = sorted(set(sample.languages)), sample.counts
-    idf = (np.log((1 + len(names)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    languages, seen = sorted(set(sample.languages)), np.zeros(DIMS)
+    for slots, _ in sample.counts:
+        seen[slots] += 1
+    idf = (np.log((1 + len(sample.languages)) / (1 + seen)) + 1).astype(np.float32)
     model = Centroids(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(len(languages)))
     parts = []
     for i, lang in enumerate(languages):
-        x = model.vectors(counts[names == lang])
+        own = [c for name, c in zip(sample.languages, sample.counts) if name == lang]
+        x = np.zeros((len(own), DIMS), np.float32)
+        for row, (slots, counted) in zip(x, own):
+            row[slots] = counted
+        x = model.vectors(x)
         parts.append(spherical_kmeans(x, clusters).astype(np.float32))
         model.floors[i] = slack * np.quantile((x @ parts[-1].T).max(1), 0.01)
     if parts:
@@ -88,10 +93,10 @@ def fit(sample: Sample, clusters: int = 3, slack: float = 0.35) -> Centroids:
 
 @dataclass
 class Sample:
-    """Languages of documents and the counts of their n-grams, a row for each document."""
+    """Languages of documents, and for each the dimensions that its n-grams have and their counts."""
 
     languages: list[str]
-    counts: np.ndarray
+    counts: list[tuple[np.ndarray, np.ndarray]]
 
 
 def labelled_sample(
@@ -108,7 +113,7 @@ def labelled_sample(
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & fold)
     counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
-        return Sample([], np.zeros((0, DIMS), np.float32))
+        return Sample([], [])
     a_language = min(a_language, at_most / len(counts))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, a_language / r["count"])) for r in counts], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
@@ -128,10 +133,7 @@ def labelled_sample(
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.binary()), pa.array(counted, pa.binary())], ["lang", "slots", "counted"])
 
     rows = chosen.mapInArrow(features, "lang string, slots binary, counted binary").orderBy("lang", "slots", "counted").limit(2 * at_most).collect()
-    out = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        out[i, np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["counted"], np.float32)
-    return Sample([r["lang"] for r in rows], out)
+    return Sample([r["lang"] for r in rows], [(np.frombuffer(r["slots"], np.uint16), np.frombuffer(r["counted"], np.float32)) for r in rows])
 
 
 def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
