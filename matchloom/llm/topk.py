@@ -27,31 +27,41 @@ def _levels(dim: int, resolutions) -> list[int]:
     return sorted({min(r, dim) for r in resolutions if r > 0}) if dim else []
 
 
-def block_topk(q_ids, q, x_ids, x, k: int, resolutions=(1, 4, 16)):
-    """(query id, row id, score) of each query's k best rows of this block, ties to the smaller id.
+def block_topk(q_ids, q, x_ids, x, k: int, resolutions=(1, 4, 16), floors=None):
+    """(query id, row id, score) of each query's k best rows of this block, ties to the smaller id; of these
+    only scores that reach the query's floor, where floors are given.
 
-    q and x hold integers as doubles. A row goes on to the next resolution only while its lower-bound
-    distance still allows a score that reaches the k-th best exact score known; ties pass."""
+    q and x hold integers as doubles. At first a query is held against the block as a whole: the ranges of its
+    rows' segment statistics bound the distance to all of them. Then a row goes on to the next resolution only while
+    its lower-bound distance still allows a score that reaches the floor and the k-th best exact score known; ties pass."""
     levels = _levels(x.shape[1], resolutions)
     top = max(np.abs(q).max(initial=0), 1.0) * max(np.abs(x).max(initial=0), 1.0) * max(x.shape[1], 1)
     small = top < 2.0**52
-    out = []
-    if small:
+    floors = np.full(len(q_ids), -np.inf) if floors is None else floors
+    out, asked = [], range(len(q_ids))
+    if small and len(x) and len(q):
         stats_q, stats_x = [segment_statistics(q, s) for s in levels], [segment_statistics(x, s) for s in levels]
         norm_q, norm_x = (q * q).sum(1), (x * x).sum(1)
-    for i, own in enumerate(q_ids):
+        if levels:
+            low = sum((np.maximum(0, np.maximum(sx.min(0) - sq, sq - sx.max(0))) ** 2).sum(1) for sq, sx in zip(stats_q[-1], stats_x[-1]))
+            bound = (norm_q + norm_x.max() - low) / 2 + (norm_q + norm_x.max()) * 1e-9 + 1
+            asked = np.flatnonzero(bound >= floors).tolist()
+    for i in asked:
+        own = q_ids[i]
         alive = np.flatnonzero(x_ids != own)
         if small:
-            best = np.empty(0)
-            for (mq, dq), (mx, dx) in zip(stats_q, stats_x):
-                if len(alive) <= k:
+            for (mq, dq), (mx, dx) in zip(stats_q, stats_x) if len(x) else ():
+                if not len(alive):
                     break
                 low = ((mx[alive] - mq[i]) ** 2).sum(1) + ((dx[alive] - dq[i]) ** 2).sum(1)
                 bound = (norm_q[i] + norm_x[alive] - low) / 2 + (norm_q[i] + norm_x[alive]) * 1e-9 + 1
-                likely = alive[np.argpartition(-bound, k - 1)[: 4 * k]]
-                best = np.sort(x[likely] @ q[i])[::-1][:k]
-                alive = alive[bound >= best[-1]]
+                least = floors[i]
+                if len(alive) > k:
+                    likely = alive[np.argpartition(-bound, k - 1)[: 4 * k]]
+                    least = max(least, np.sort(x[likely] @ q[i])[::-1][k - 1])
+                alive = alive[bound >= least]
             scores = x[alive] @ q[i]
+            alive, scores = alive[scores >= floors[i]], scores[scores >= floors[i]]
             if len(alive) > k:
                 keep = scores >= np.partition(scores, len(alive) - k)[len(alive) - k]
                 alive, scores = alive[keep], scores[keep]
@@ -64,17 +74,27 @@ def block_topk(q_ids, q, x_ids, x, k: int, resolutions=(1, 4, 16)):
     return out
 
 
+def floors_of(q_ids, q, x_ids, x, k: int) -> np.ndarray:
+    """Each query's k-th best score among some rows: no smaller one can be among its k best of all."""
+    found: dict[int, list[int]] = {}
+    for own, _, score in block_topk(q_ids, q, x_ids, x, k):
+        found.setdefault(own, []).append(score)
+    return np.array([float(s[k - 1]) if len(s := found.get(own, ())) >= k else -np.inf for own in q_ids])
+
+
 def exact_topk(
-    vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int = 4096, queries_a_block: int = 1024
+    vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int = 4096, queries_a_block: int = 1024, pilot: int = 1024
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows with the highest integer inner product.
 
-    Components count as floor(scale * x). is_query: a column over the ids that names the stated queries;
-    each is set against all rows but those with its own id, block by block. Ties go to the smaller id.
+    Components count as floor(scale * x), at most the largest and at least the smallest long. is_query: a column over
+    the ids that names the stated queries; each is set against all rows but those with its own id, block by block.
+    Ties go to the smaller id. `pilot` rows that a hash of the id picks are searched first: a query's k-th best score
+    among them is the floor below which no block, row or result is followed up.
     Null vectors, null ids and vectors with a null or non-finite component take no part; a vector meets
     only those of its own length; a repeated row counts each time as a candidate, while a query id that
-    occurs more than once is asked once, with its smallest vector. Scores beyond a long are ranked exactly
-    and returned as the nearest long. An empty table gives no rows; other columns are not read."""
+    occurs more than once is asked once, with its smallest vector. Scores beyond a long are ranked
+    exactly and returned as the nearest long. An empty table gives no rows; other columns are not read."""
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     )
@@ -82,7 +102,7 @@ def exact_topk(
     asked = whole.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     spark = vectors.sparkSession
 
-    def blocks(limit):
+    def blocks(limit, held_against=None):
         def made(batches):
             task, n = TaskContext.get().partitionId() << 32, 0
             held: dict[int, tuple[list, list]] = {}
@@ -91,8 +111,14 @@ def exact_topk(
                 nonlocal n
                 n += 1
                 ids, parts = held.pop(dim)
+                ids, data, floors = np.array(ids, np.int64), b"".join(parts), b""
+                if held_against is not None:
+                    shape = lambda b, n: np.frombuffer(b, np.float64).reshape(n, dim)
+                    first_ids, first = held_against.value.get(dim, ([], b""))
+                    first_ids = np.array(first_ids, np.int64)
+                    floors = floors_of(ids, shape(data, len(ids)), first_ids, shape(first, len(first_ids)), k).tobytes()
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([task | n]), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(parts)])], ["block", "dim", "ids", "data"]
+                    [pa.array([task | n]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([data]), pa.array([floors])], ["block", "dim", "ids", "data", "floors"]
                 )
 
             for batch in batches:
@@ -111,21 +137,26 @@ def exact_topk(
 
         return made
 
-    packed = "block long, dim int, ids binary, data binary"
-    n_asked = asked.count()
-    many = max(1, -(-n_asked // queries_a_block))
-    sides = spark.sparkContext.defaultParallelism * 4
-    right = asked.repartition(many, "id").mapInArrow(blocks(queries_a_block), packed)
-    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    packed = "block long, dim int, ids binary, data binary, floors binary"
+    few: dict[int, tuple[list, list]] = {}
+    for r in whole.orderBy(F.xxhash64("id"), "id", "v").limit(pilot).collect():
+        ids, parts = few.setdefault(len(r["v"]), ([], []))
+        ids.append(r["id"])
+        parts.append(np.array(r["v"], np.float64).tobytes())
+    first = spark.sparkContext.broadcast({dim: (ids, b"".join(parts)) for dim, (ids, parts) in few.items()})
+    many = max(1, -(-asked.count() // queries_a_block))
+    sides = spark.sparkContext.defaultParallelism * 2
+    right = asked.repartition(many, "id").mapInArrow(blocks(queries_a_block, first), packed)
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("floors").alias("q_floors"))
     left = whole.mapInArrow(blocks(rows_a_block), packed).withColumn("side", F.pmod(F.xxhash64("block"), F.lit(sides)).cast("int"))
-    met = left.join(right, ["side", "dim"]).select("dim", "ids", "data", "q_ids", "q_data")
+    met = left.join(right, ["side", "dim"]).select("dim", "ids", "data", "q_ids", "q_data", "q_floors")
 
     def best(batches):
         for batch in batches:
-            for dim, ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, ids, data, q_ids, q_data, q_floors in zip(*(c.to_pylist() for c in batch.columns)):
                 shape = lambda b, n, dim=dim: np.frombuffer(b, np.float64).reshape(n, dim)
                 xi, qi = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                rows = block_topk(qi, shape(q_data, len(qi)), xi, shape(data, len(xi)), k)
+                rows = block_topk(qi, shape(q_data, len(qi)), xi, shape(data, len(xi)), k, floors=np.frombuffer(q_floors, np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(best, "query_id long, vec_id long, score long")
