@@ -106,7 +106,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(_in_order(docs, id_col, text_col, []).mapInArrow(runs, schema), "runs")
     own = (F.col("id").alias(id_col), F.col("head_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("first").alias("kept"), "text_sha256")
     # Of the rows of edge runs all take the group's head and size; fully equal heads are told apart by their partition.
-    edges = found.where("edge").join(_best(found.where("edge AND first")), "text_sha256", "left")
+    # They are joined by run, not by text: a large group's rows stay spread over its partitions.
+    runs_ = found.where("edge AND first")
+    whole = runs_.select("text_sha256", "part").join(_best(runs_), "text_sha256")
+    edges = found.where("edge").join(whole, ["text_sha256", "part"], "left")
     elsewhere = F.col("best").isNotNull()
     keep_id = F.when(elsewhere, F.col("best.id")).otherwise(F.col("head_id"))
     stays = F.col("first") & F.when(elsewhere, F.col("best.part") == F.col("part")).otherwise(F.lit(True))
