@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def odd(spark):
     base = [
         (1, None, "en", "s"), (2, "", "en", None), (3, " \t\n", None, "s"), (4, LONG, "de", "s"), (5, LONG, "de", "s"), (6, "the same short text of six words", "en", "s"),
         (6, "the same short text of six words", "en", "s"), (7, "the  same short text of six\nwords", "en", "t"), (None, "a row without an id has words", "en", "t"), (8, "12345 !!! 678", "en", "t"),
-        (9, "x" * 50_000, "en", "t"), (10, "one two", "en", "t"), (11, "ONE two", "en", "t"), (12, "été déjà <|endoftext|> 中文 नमस्ते", "fr", "t"),
+        (9, "x" * 50_000, "en", "t"), (10, "one two", "en", "t"), (11, "ONE two", "en", "t"), (12, "été déjà <|endoftext|> 中文 नमस्ते", "fr", "t"), (13, "½ ² ①", "en", "t"),
     ]
     return spark.createDataFrame([(*r, len(r[1] or ""), "i", "k", "b", "s", "r", "m", "o", "dot") for r in base], SCHEMA)
 
@@ -79,6 +80,26 @@ def test_exact(odd):
     assert kept.count() == got.where("kept").count() == kept.select("doc_id", "text").distinct().count()
 
 
+def test_copies_over_many_partitions(spark):
+    """A group of copies over several range partitions, with fully equal rows among them."""
+    many = [(i // 2, "a" * 50 + " " * (i % 7), "x") for i in range(3000)] + [(10_000 + i, f"text {i % 40}", "y") for i in range(400)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in many], "doc_id long, text string, source string, edge int, part int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = exact_dedup.content_groups(docs).collect()
+        kept = exact_dedup.keep_first_copies(docs)
+        assert kept.schema == docs.schema
+        kept = sorted((r.doc_id, r.text) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    best = min((-len(t), i) for i, t, _ in many[:3000])[1]
+    assert all(r.keep_id == best and r.group_size == 3000 for r in got if r.doc_id < 10_000) and len(got) == 3400
+    assert sum(r.kept for r in got) == 41 and [r.doc_id for r in got if r.kept and r.doc_id < 10_000] == [best]
+    assert kept == sorted([(best, "a" * 50 + " " * 6), *((10_000 + i, f"text {i}") for i in range(40))])
+
+
 def test_scores(odd):
     got = by_id(lm_scoring.score_texts(odd, held_out=lambda i: i == 12))
     assert got[1].n_tokens == 1 and got[1].score == 0 and got[1].bits_per_byte == 0
@@ -94,7 +115,7 @@ def test_nothing_to_learn_from(odd):
 
 def test_languages(odd):
     got = by_id(language_id.identify_languages(odd))
-    assert [got[i].lang_pred for i in (1, 2, 3, 8)] == ["und"] * 4 and got[4].lang_pred == "de"
+    assert [got[i].lang_pred for i in (1, 2, 3, 8, 13)] == ["und"] * 5 and got[4].lang_pred == "de"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language_id.identify_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -110,6 +131,14 @@ def test_counts(odd):
     assert got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 0 and got[3].n_bytes == 3
 
 
+def test_order(odd):
+    rows = training_order.write_training_order(odd, length=64).orderBy("slot").collect()
+    ids = [np.frombuffer(r.ids, np.uint16) for r in rows]
+    tokens = token_counts.count_tokens(odd).agg(F.sum("n_tokens")).first()[0]
+    assert [r.slot for r in rows] == list(range(len(rows))) and sum(r.n_ids for r in rows) == tokens + odd.count()
+    assert sum((x == 1).sum() for x in ids) >= odd.count()
+
+
 def test_licenses(odd):
     got = by_id(licenses.scan_licenses(odd))
     assert got[1].n_words == 0 and got[1].first_word is None and got[1].labels == ""

@@ -1,7 +1,10 @@
 """Operators against brute force, round trips and held-out texts."""
 
+import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from matchloom.llm import language_id, license_templates, licenses, lm_scoring, mixing, near_dedup, packing, queries, tokenizing, topk, training_order, tree_model
+from matchloom.llm import language_id, license_oracle, license_templates, licenses, lm_scoring, mixing, near_dedup, packing, queries, token_counts, tokenizing, topics, topk, training_order
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +60,14 @@ def test_packing_round_trip(spark, sf_dir, texts, library):
     assert {packing.piece_lengths(n, 8)[-1] for n in (8, 16, 24)} == {8} and packing.piece_lengths(15, 8) == [8, 4, 2, 1]
 
 
+def test_buckets_of_equal_lengths(spark, docs, tmp_path):
+    pieces = packing.pack_power_of_two(docs)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == pieces.count() and back.where("length <> pow(2, bucket)").count() == 0
+    assert {p.name for p in (tmp_path / "b").glob("bucket=*")} == {f"bucket={r.bucket}" for r in pieces.select("bucket").distinct().collect()}
+
+
 def test_packing_digest(spark, sf_dir, texts, library):
     for r in queries.op1_packing(spark, sf_dir).where("start = 0").limit(40).collect():
         ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 1][: r.length]
@@ -112,6 +123,38 @@ def test_near_duplicates_of_a_chain_and_a_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [0, 10, 100_000])
+def test_components(spark, monkeypatch, most):
+    """In one task, by stars, and by both, against union-find."""
+    monkeypatch.setattr(near_dedup, "ONE_TASK", most)
+    rng = random.Random(most)
+    pairs = [(i, i + 1) for i in range(1000, 1040)] + [(5, i) for i in range(2000, 2050)] + [tuple(rng.sample(range(300), 2)) for _ in range(200)] + [(2049, 1040)]
+    at = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        at[y] = x
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    got = {r.id: r.component for r in near_dedup.components(links).collect()}
+    assert got == {x: root(x) for x in at if root(x) != x}
+    assert near_dedup.components(links.limit(0)).count() == 0
+
+
+def test_asked_by_bits(spark, monkeypatch):
+    """Beyond FEW_IDS ids are told by bits: none that is asked for is left out, few others pass."""
+    rows, ids = spark.range(20_000), spark.range(0, 20_000, 100)
+    monkeypatch.setattr(near_dedup, "FEW_IDS", 10)
+    some = {r.id for r in near_dedup._asked(rows, ids).collect()}
+    assert some >= set(range(0, 20_000, 100)) and len(some) < 260
+    monkeypatch.setattr(near_dedup, "FEW_IDS", 10_000)
+    assert {r.id for r in near_dedup._asked(rows, ids).collect()} == set(range(0, 20_000, 100))
+
+
 def test_sequential_bounds():
     least = near_dedup.least_matches(0.75, 1e-6)
     assert len(least) == near_dedup.PERMUTATIONS // near_dedup.BATCH and list(least) == sorted(least)
@@ -131,6 +174,24 @@ def test_topk_blocks():
     assert [tuple(map(int, r)) for r in got] == [tuple(map(int, r)) for r in want]
 
 
+def test_topk_floors():
+    """What floors and whole blocks leave out is not among the best: the best of all blocks stay the same."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 20)) * 3
+    x = np.floor(256 * (centres[np.arange(600) // 100] + rng.normal(size=(600, 20)) / 4))
+    ids = np.arange(600)
+    floors = topk.floors_of(ids[::9], x[::9], ids[::5], x[::5], 5)
+    got, skipped = defaultdict(list), 0
+    for begin in range(0, 600, 100):
+        rows = topk.block_topk(ids[::9], x[::9], ids[begin : begin + 100], x[begin : begin + 100], 5, floors=floors)
+        skipped += len(ids[::9]) - len({r[0] for r in rows})
+        for q, i, score in rows:
+            got[q].append((-score, i))
+    assert skipped > 100
+    for q in ids[::9]:
+        assert sorted(got[q])[:5] == sorted((-int(x[q] @ x[j]), j) for j in range(600) if j != q)[:5]
+
+
 def test_bounds_are_bounds():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 30)), rng.normal(size=(50, 30))
@@ -158,12 +219,96 @@ def test_raking(spark):
         assert p[i] == pytest.approx(min(1, 0.3 * w[i] / r[3]), abs=1e-5)
 
 
+def test_both_ways_of_raking(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abcd"), rng.choice(["en", "de", ""]), f"t{rng.randrange(5)}", rng.choice([0, *range(1, 400)])) for _ in range(300)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    for targets in (None, {"source": {"a": 0.5, "b": 0.2}, "lang": {"en": 0.9}}):
+        one, many = (mixing.fit_cells(cells, targets, few=n) for n in (1000, 0))
+        key = ["source", "lang", "topic"]
+        one, many = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (one, many))
+        assert np.allclose(one.weight, many.weight) and np.allclose(one.probability, many.probability) and np.allclose(one.share_lang, many.share_lang)
+    shares = mixing.marginals(mixing.fit_cells(cells, {"source": {"a": 0.5, "b": 0.2}}, keep=0.05)).toPandas()
+    assert np.allclose(shares.target, shares.raked, atol=1e-6) and np.allclose(shares.raked, shares.realised, atol=1e-6)
+    assert shares[(shares.dimension == "source") & (shares.value == "a")].raked.item() == pytest.approx(0.5)
+    assert set(shares.groupby("dimension").raked.sum().round(9)) == {1.0}
+
+
+def brute_mixture(rows, model, keep=0.8, temper=0.7):
+    """{id: (topic, words, probability, kept)} of (id, source, lang, text), one cell and one text after the other."""
+    slots, found, cells = topics.Slots(), {}, Counter()
+    for i, source, lang, text in rows:
+        words = (text or "").encode().lower().split()
+        x = np.zeros(topics.DIMS)
+        for w, n in Counter(words).items():
+            x[slots[w]] += math.log(1 + n)
+        topic = f"topic{int((model.centroids @ (x * model.idf)).argmax())}" if words else topics.NONE
+        found[i] = (source or "", lang or "", topic), len(words)
+        cells[found[i][0]] += len(words)
+    total, weight = sum(cells.values()), {c: float(n) for c, n in cells.items()}
+    for _ in range(50):
+        for d in range(3):
+            tokens, have = Counter(), Counter()
+            for c, n in cells.items():
+                tokens[c[d]] += n
+                have[c[d]] += weight[c]
+            raw = {v: n**temper for v, n in tokens.items() if n}
+            for c in cells:
+                weight[c] *= raw.get(c[d], 0) / sum(raw.values()) * total / have[c[d]] if have[c[d]] else 0
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the scale at which `keep` of the tokens are expected
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(n, mid * weight[c]) for c, n in cells.items()) < keep * total else (low, mid)
+    out = {}
+    for i, (c, n) in found.items():
+        p = min(1.0, low * weight[c] / cells[c]) if cells[c] else 0.0
+        u = int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:12], 16) / 2**48
+        out[i] = c[2], n, p, n > 0 and u < p
+    return out
+
+
+def test_mixing_against_brute_force(spark, sf_dir, docs):
+    rows = [(r.doc_id, r.source, r.lang, r.text) for r in docs.collect()]
+    want = brute_mixture(rows, topics.fit(docs))
+    got = queries.op4_mixing(spark, sf_dir).collect()
+    assert len(got) == len(rows) and len({r.topic for r in got}) > 3
+    for r in got:
+        topic, n, p, kept = want[r.doc_id]
+        assert (r.topic, r.n_tokens) == (topic, n) and r.probability == pytest.approx(p, abs=2e-6)
+        assert r.kept == kept or abs(p - r.probability) < 1e-6
+
+
 def test_mixing_probabilities(docs):
     got = mixing.mix(docs, keep=0.7).toPandas()
     assert (got.mix_tokens * got.mix_probability).sum() == pytest.approx(0.7 * got.mix_tokens.sum(), rel=1e-6)
     assert got.mix_probability.between(0, 1).all()
 
 
+def nearest_by_hand(model, text):
+    """The language with the centroid nearest by cosine, one n-gram after the other."""
+    low = " " + " ".join("".join(c.lower() if c.isascii() else c for c in text if True).translate({i: " " for i in range(128) if not chr(i).isalpha()}).split(" ")) + " "
+    b = b" " + b" ".join(low.encode().split()) + b" "
+    x = np.zeros(language_id.DIMS, np.float32)
+    for k, (plus, times) in enumerate(((0, 2654435761), (1 << 25, 2246822519), (1 << 26, 3266489917)), 1):
+        for i in range(len(b) - k + 1):
+            x[((int.from_bytes(b[i : i + k], "big") + plus) * times % (1 << 32)) >> 19] += 1
+    x = np.log1p(x) * model.idf
+    cosine = model.centroids @ (x / np.linalg.norm(x))
+    return model.languages[model.owner[cosine.argmax()]], float(cosine.max())
+
+
+def test_languages_against_brute_force(spark, sf_dir, docs, texts):
+    fold = lambda i: F.crc32(i.cast("string").cast("binary")) % 3 == 1
+    model = language_id.fit(language_id.labelled_sample(docs, "doc_id", "text", "lang", fold, 400))
+    for r in queries.op6_language_id(spark, sf_dir).collect():
+        t = texts[r.doc_id]
+        if any(c.isalpha() for c in t):
+            lang, score = nearest_by_hand(model, t)
+            assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == lang or len(t) < 20)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def slow_tree(train, depth):
     """Context-tree weighting by recursion over a dictionary of counts, every context kept."""
     counts = defaultdict(Counter)
@@ -185,7 +330,7 @@ def slow_tree(train, depth):
                 known[c, node] = own, 1.0
             else:
                 total = sum(weigh(x, node)[0] for x in below)
-                known[c, node] = np.logaddexp(own, total) - math.log(2), 1 / (1 + math.exp(total - own))
+                known[c, node] = np.logaddexp(own, total) - math.log(2), 1 / (1 + math.exp(min(total - own, 700)))
         return known[c, node]
 
     def byte(context, x):
@@ -205,33 +350,33 @@ def slow_tree(train, depth):
     return lambda t: sum(byte((b"\0" * depth + t)[i : i + depth], x) for i, x in enumerate(t))
 
 
-def tables(train, depth):
-    found = np.concatenate([tree_model.grams(t, depth) for t in train])
-    out = []
-    for d in range(depth + 1):
-        out.append(np.unique(found & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True))
-    return out
+def scores_by_recursion(spark, texts, held, depth, **options):
+    rows = list(enumerate(t.decode("utf-8") for t in texts))
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), held_out=lambda i: i.isin(held), depth=depth, **options).collect()
+    slow = slow_tree([t for i, t in enumerate(texts) if i not in held], depth)
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(slow(texts[r.doc_id]), rel=1e-7, abs=1e-9), (depth, texts[r.doc_id][:30])
+
 
+@pytest.mark.parametrize("depth,few", [(0, False), (1, True), (2, False), (4, True), (6, False)])
+def test_scores_against_recursion(spark, depth, few):
+    texts = [b"abracadabra abracadabra", b"abba", b"barbara", b"abracadabra", b"xyz", b"a", b"barb\xc3\xa9", b""]
+    scores_by_recursion(spark, texts, [3, 4, 5, 6, 7], depth, **({"entries": 3, "frequent": 2} if few else {}))
 
-def test_tree_against_recursion():
-    train = [b"abracadabra abracadabra", b"abba", b"barbara"]
-    tree, slow = tree_model.ContextTree(tables(train, 2), 2), slow_tree(train, 2)
-    for t in (b"abracadabra", b"xyz", b"a", b"barb\xff"):
-        assert tree_model.Scorer(tree, 4)(tree_model.grams(t, 2)).sum() == pytest.approx(slow(t), abs=1e-5)
 
+def test_all_scores_against_recursion(spark, sf_dir, texts):
+    held = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 7 == 2]
+    order = sorted(texts)
+    own = [texts[i].encode() for i in order]
+    scores_by_recursion(spark, own, [order.index(i) for i in held], 2)
 
-def test_tree_gives_probabilities():
-    train = [b"the cat sat on the mat and the dog sat on the log"] * 3
-    found = tables(train, 3)
-    kept = []
-    for gram, n in found:
-        context, at = np.unique(gram >> np.uint64(8), return_inverse=True)
-        often = np.bincount(at, n) >= 6
-        kept.append((gram[often[at]], n[often[at]]))
-    tree = tree_model.ContextTree(kept, 3)
-    for context in (b"the", b"xyz", b"at "):
-        gram = tree_model.grams(context + b"\0", 3)[-1] & ~np.uint64(255)
-        assert (10 ** tree.log10(gram | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-6)
+
+def test_scores_are_probabilities(spark):
+    rows = [(0, "the cat sat on the mat and the dog sat on the log"), *((i, "the ca" + chr(i)) for i in range(1, 128))]
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), held_out=lambda i: i > 0).where("doc_id > 0").collect()
+    less = lm_scoring.score_texts(spark.createDataFrame([*rows[:1], (1, "the ca")], "doc_id long, text string"), held_out=lambda i: i > 0).where("doc_id > 0").first()
+    assert 0.9 < sum(10 ** (r.score - less.score) for r in got) < 1
 
 
 def test_scores_of_held_out_texts(spark, sf_dir, texts):
@@ -246,7 +391,7 @@ def test_scores_of_held_out_texts(spark, sf_dir, texts):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(c), sum(x > 0 for x in c), total)
         assert r.base_score == pytest.approx(sum(math.log10((x + 1) / (total + distinct + 1)) for x in c), abs=1e-6)
     held = got[got.held_out]
-    assert (held.bits_per_byte * held.n_bytes).sum() / held.n_bytes.sum() < 3.2
+    assert (held.bits_per_byte * held.n_bytes).sum() / held.n_bytes.sum() < 3.0
 
 
 def test_words_beyond_the_broadcast(docs):
@@ -274,49 +419,129 @@ def test_permutation(n):
     assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
-def test_training_order_round_trip(spark, docs, texts, library, tmp_path):
+def slot_by_hand(index, n, key, rounds=6):
+    """The permutation with Python's numbers, one index at a time."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys = [int(k) for k in np.random.default_rng(key).integers(1 << 63, size=rounds, dtype=np.uint64)]
+    full = 1 << 64
+    while True:
+        left, right = index >> half, index & ((1 << half) - 1)
+        for k in keys:
+            f = (right ^ k) * 0x9E3779B97F4A7C15 % full
+            f = (f ^ (f >> 32)) * 0xD6E8FEB86659FD93 % full
+            left, right = right, left ^ ((f >> 40) & ((1 << half) - 1))
+        index = (left << half) | right
+        if index < n:
+            return index
+
+
+def test_training_order_slot_by_slot(spark, docs, texts, library, tmp_path):
     path = str(tmp_path / "shards")
     got = training_order.write_training_order(docs, path, length=128, a_shard=50).toPandas().sort_values("slot")
-    assert got.slot.tolist() == list(range(len(got))) and (got.slot // 50 == got.shard).all()
-    assert (got.byte_offset == got.slot % 50 * training_order.stride(128)).all()
-    want = Counter()
-    for t in texts.values():
-        want.update([*library.encode(t, add_special_tokens=False).ids, 1])
-    have = Counter()
-    for x in got.ids:
-        have.update(np.frombuffer(x, np.uint16).tolist())
-    assert have == want and got.n_ids.sum() == sum(want.values())
+    buckets = defaultdict(list)
+    for r in training_order.placed(docs, "doc_id", "text").drop("text").collect():
+        buckets[r.bucket].append((r.id, r.mark))
+    want = []
+    for b in sorted(buckets):
+        stream = []
+        for i, _ in sorted(buckets[b]):
+            stream += [*library.encode(texts[int(i)], add_special_tokens=False).ids, 1]
+        want += [stream[i : i + 128] for i in range(0, len(stream), 128)]
+    by_slot = {slot_by_hand(i, len(want), 17): x for i, x in enumerate(want)}
+    assert got.slot.tolist() == list(range(len(want)))
+    for r in got.itertuples():
+        assert np.frombuffer(r.ids, np.uint16).tolist() == by_slot[r.slot] and r.n_ids == len(by_slot[r.slot])
+        assert (r.shard, r.byte_offset, r.ids_crc32) == (r.slot // 50, r.slot % 50 * training_order.stride(128), zlib.crc32(r.ids))
     again = training_order.read_records(spark, path, 128, 50, first_slot=77).toPandas().sort_values("slot")
     assert again.slot.tolist() == list(range(77, len(got))) and again.ids_crc32.tolist() == got.ids_crc32.tolist()[77:]
-    assert got.ids_crc32.tolist() == [zlib.crc32(x) for x in got.ids]
 
 
-def test_license_templates():
-    mit = next(t for label, t in license_templates.TEMPLATES if label == "mit" and "Permission" in t)
-    plain = mit.replace("<<var;match=authors or copyright holders|{1,30}>>", "authors or copyright holders")
-    plain = plain.replace("<<beginOptional>>Copyright <<var;match={0,20}>><<endOptional>>", "Copyright 2020 Some One").replace("<<beginOptional>>", "").replace("<<endOptional>>", "")
+def test_training_order_is_that_of_the_rows(spark, docs, tmp_path):
+    """Other splits, the same shards; a finished step is not done again."""
+    few = docs.where("doc_id % 4 = 0")
+    one = training_order.write_training_order(few, length=64).orderBy("slot").collect()
+    path = str(tmp_path / "shards")
+    assert training_order.write_training_order(few.repartition(7), path, length=64).orderBy("slot").collect() == one
+    assert training_order.write_training_order(few.limit(0), path, length=64).orderBy("slot").collect() == one
+    assert [training_order.shard_size(n) for n in (1, 2048 * 2048, 2048 * 2048 + 1, 10**12)] == [2048, 2048, 4096, 65536]
 
-    def labels(t):
-        w = licenses.words(t.encode())
-        line = b" " + b" ".join(w) + b" "
-        import re
 
-        found = {label for label, x in licenses.TEMPLATES if licenses.Automaton(x).found(w, line)}
-        assert found == {label for label, x in licenses.TEMPLATES if re.search(licenses.Automaton(x).regex(), line.decode())}
+def test_wide_ids(spark, tmp_path):
+    """A vocabulary beyond 16 bits, by a file that the library has to cut itself."""
+    from tokenizers import models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(path := str(tmp_path / "wide.json"))
+    docs = spark.createDataFrame([(1, "w69999 w5"), (2, "w65536")], "doc_id long, text string")
+    got = training_order.write_training_order(docs, length=8, tokenizer=path, end_id=1).collect()
+    ids = [np.frombuffer(r.ids, np.uint32).tolist() for r in got]
+    assert ids == [[69999, 5, 1, 65536, 1]]
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()} == {1: 2, 2: 1}
+
+
+def in_words(template):
+    """A licence as it may stand in a file: every optional region there, each replaceable one by its first wording."""
+    t = template.replace("<<var;match={0,20}>>", "2020 Some One").replace("<<var;match={0,12}>>", "http://www.apache.org/licenses/LICENSE-2.0")
+    return re.sub(r"<<var;match=([^|>]*)[^>]*>>", r"\1", t.replace("<<beginOptional>>", "").replace("<<endOptional>>", ""))
+
+
+def labels_of(text):
+    w = licenses.words(text.encode())
+    line = b" " + b" ".join(w) + b" "
+    found = {label for label, x in license_templates.TEMPLATES if licenses.Automaton(x).found(w, line)}
+    assert found == {label for label, x in license_oracle.WORDINGS if re.search(" " + x, line.decode())}
+    return found
+
+
+@pytest.mark.parametrize("n", range(len(license_templates.TEMPLATES)))
+def test_whole_templates(n):
+    """Each automaton against the wording that the oracle has, on the whole text and on texts with a word changed."""
+    (label, template), (same, wording) = license_templates.TEMPLATES[n], license_oracle.WORDINGS[n]
+    automaton, pattern = licenses.Automaton(template), re.compile(" " + wording)
+    assert label == same
+
+    def accepts(text):
+        w = licenses.words(text.encode())
+        line = b" " + b" ".join(w) + b" "
+        found = automaton.found(w, line)
+        assert found == bool(pattern.search(line.decode())), text
         return found
 
-    assert labels("before " + plain + " after") == {"mit"}
-    assert labels(plain.replace("(including the next paragraph)", "")) == {"mit"}
-    assert labels(plain.replace("free of charge", "for a charge")) == set()
-    assert labels(plain.replace("authors or copyright holders", "people at Acme")) == {"mit"}
-    assert labels("Released under the MIT License.") == {"mit"} and labels("Refused under the MIT License.") == set()
-    assert labels("Licensed under the Apache License, Version 2.0.") == labels("licensed under the apache license 2.0") == {"apache-2.0"}
-    assert labels("This work is licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
-    assert labels("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"} and labels("Licensed under CC BY 4.0") == {"cc-by-4.0"}
+    own = in_words(template).split()
+    assert accepts("before " + " ".join(own) + " after") and accepts(" ".join(own).upper())
+    assert not accepts(" ".join(own[:-1])) and not accepts(" ".join([*own[:-1], "otherwise"]))
+    rng, left = random.Random(n), 0
+    for _ in range(60):
+        i = rng.randrange(len(own))
+        left += accepts(" ".join(rng.choice([[*own[:i], "otherwise", *own[i + 1 :]], own[:i] + own[i + 1 :], [*own[:i], "not", *own[i:]]])))
+    assert left < 30
+
+
+def test_license_wording():
+    mit = in_words(next(t for label, t in license_templates.TEMPLATES if label == "mit" and "Permission" in t))
+    assert labels_of(mit.replace("(including the next paragraph)", "")) == {"mit"}
+    assert labels_of(mit.replace("free of charge", "for a charge")) == set()
+    assert labels_of(mit.replace("authors or copyright holders", "people at Acme")) == {"mit"}
+    assert labels_of("Released under the MIT License.") == {"mit"} and labels_of("Refused under the MIT License.") == set()
+    assert labels_of("Licensed under the Apache License, Version 2.0.") == labels_of("licensed under the apache license 2.0") == {"apache-2.0"}
+    assert labels_of("This work is licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
+    assert labels_of("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"} and labels_of("Licensed under CC BY 4.0") == {"cc-by-4.0"}
+    bsd = in_words(next(t for label, t in license_templates.TEMPLATES if label == "bsd-3-clause"))
+    assert labels_of(bsd) == {"bsd-3-clause"}
+    assert labels_of(bsd[: bsd.index("WARRANTIES, INCLUDING")] + "WARRANTIES are hereby fully granted and nothing is disclaimed") == set()
     with pytest.raises(ValueError):
         licenses.parse("a <<beginOptional>> b")
 
 
+def test_a_long_text_of_phrases(spark):
+    rows = [(1, "MIT License, General Public License. licensed under " * 200_000)]
+    began = time.perf_counter()
+    r = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert (r.n_base, r.first_word, r.last_word, r.n_words, r.base_labels) == (400_000, 0, 7 * 199_999 + 2, 1_400_000, "gpl,mit")
+    assert time.perf_counter() - began < 60
+
+
 def test_pipeline_against_brute_force(spark, docs, sf_dir, texts):
     """Each stage on what the one before kept."""
     now, kept = docs, dict(texts)
