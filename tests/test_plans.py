@@ -83,6 +83,15 @@ def test_tsv_details(spark, files, tmp_path):
     assert tables.schema_differences(s2.drop("country"), tables.RECORD) == {"missing": ["country"], "extra": ["source"]}
 
 
+def test_counted_lines_of_a_folder(spark, tmp_path):
+    rows = spark.range(10).selectExpr("cast(id AS string) AS entity_id", "'x' AS business_name")
+    for n, df in ((10, rows.repartition(3)), (10, rows.coalesce(1)), (0, rows.limit(0))):
+        sinks.write_tsv(df, str(tmp_path / "t"))
+        assert tables.count_lines(spark, str(tmp_path / "t")) == n
+    (tmp_path / "empty").write_text("")
+    assert tables.count_lines(spark, str(tmp_path / "empty")) == 0
+
+
 def test_awkward_values(spark, tmp_path):
     values = ["a\tb", '"start', 'in "the" middle', '"', '""', "two\nlines", '\t"\n"', "  blanks ", "", "\\", '\\"', "r\rn", "a\r\nb", "'", "#", "é", "\u2028"]
     rows = [(f"S1-{i}", v, v + "x", "US") for i, v in enumerate(values)]
