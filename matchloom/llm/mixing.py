@@ -14,23 +14,6 @@ from .shared import all_columns, bounded_batches, own_name, whole_text, written
 DIMENSIONS = ("source", "lang", "topic")
 #: Up to so many cells are raked in one task and broadcast; more are raked by aggregates and joined.
 FEW_CELLS = 50_000
-_NUMBERS = T.StructType([T.StructField("topic", T.StringType()), T.StructField("tokens", T.LongType())])
-
-
-def topic_and_words(model: topic_model.Topics, spark, text: str = "text") -> Column:
-    """A struct of a text's topic and the number of its words between white space, from one look at it."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf(_NUMBERS)
-    def looked_at(texts: pa.Array) -> pa.Array:
-        slots, names, counts = topic_model.worker_slots(), [], []
-        for begin in range(0, len(texts), 64):
-            found = [topic_model.weighed_words(t, slots) for t in texts.slice(begin, 64).cast(pa.binary()).to_pylist()]
-            names += shared.value.nearest(found)
-            counts += [n for _, _, n in found]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["topic", "tokens"])
-
-    return looked_at(whole_text(text))
 
 
 def target_shares(tokens: dict[str, float], target: dict[str, float] | None, temper: float) -> dict[str, float]:
@@ -184,13 +167,16 @@ def _mixed(
     own, both, chance = [own_name(docs, f"mix_{d}_value") for d in DIMENSIONS], own_name(docs, "mix_both"), own_name(docs, "mix_uniform")
     value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     rows = docs.withColumns({own[0]: value("source"), own[1]: value("lang"), chance: uniform(id_col, seed)})
-    extra = {both: topic_and_words(topic_model.fit(docs, id_col=id_col, text_col=text_col), docs.sparkSession, text_col)} if tokens is None or topic is None else {}
+    extra = {both: topic_model.words_of(text_col)} if tokens is None or topic is None else {}
     rows = rows.withColumns(extra | ({own[2]: topic} if topic is not None else {}) | ({names[1]: tokens} if tokens is not None else {}))
-    # Written, as texts are looked at once: the cells are counted and the rows decided from this.
+    # Written, as texts are looked at once: the topics are learned, the cells counted and the rows decided from this.
     passed = [f"c{i}" for i in range(len(columns))]
     given = [*own[:2], chance, *extra, *([own[2]] if topic is not None else []), *([names[1]] if tokens is not None else [])]
-    rows = written(rows.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, passed)], *[F.col(g) for g in given]), "looked_at")
-    rows = rows.withColumns({own[2]: F.col(own[2] if topic is not None else f"{both}.topic"), names[1]: F.col(names[1] if tokens is not None else f"{both}.tokens")})
+    rows = written(rows.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, passed)], *[F.col(g) for g in given]), "looked_at", "zstd")
+    if topic is None:
+        topic = topic_model.fit_found(rows.select(f"{both}.slots", f"{both}.weights")).of(docs.sparkSession, F.col(f"{both}.slots"), F.col(f"{both}.weights"))
+        rows = rows.withColumn(own[2], topic)
+    rows = rows.withColumns({names[1]: F.col(names[1] if tokens is not None else f"{both}.tokens")})
     cells = rows.select(*[F.col(o).alias(d) for o, d in zip(own, DIMENSIONS)], F.col(names[1]).alias("tokens"))
     cells = cells.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     chances = fit_cells(cells, targets, keep, temper, tolerance=tolerance)
@@ -210,8 +196,8 @@ def mix(
     targets: for source, lang and topic the share of tokens of each value (see target_shares for what isn't
     named). The cells of the three are raked to them, and every document is kept with its cell's probability, by a
     keyed hash of its id: the same document is always decided alike, and one with a null id by the hash of
-    an empty one. topic: a column, by default the nearest of eight centroids clustered on a bounded sample of
-    whole texts (topics.fit); tokens: by default the words between white space. Null values, and those of a
+    an empty one. topic: a column, by default the nearest of eight centroids clustered on all whole texts
+    (topics.fit); tokens: by default the words between white space. Null values, and those of a
     column that docs lacks, form a value of their own, ''. A document without tokens (a null, empty or blank
     text) has no weight and is not kept; its topic is 'none'. Repeated rows count each; an empty table gives no
     rows. All other columns pass through; ones that have the names of the four are replaced. Texts are not shuffled

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .language_id import spherical_kmeans
-from .shared import whole_text
+from . import clusters
+from .shared import whole_text, written
 
 #: Hashed words share this many dimensions.
 DIMS = 1 << 12
@@ -49,6 +49,29 @@ def weighed_words(text: bytes, slots: Slots) -> tuple[list[int], list[int], int]
     return list(map(slots.__getitem__, found)), list(found.values()), len(words)
 
 
+_FOUND = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("slots", T.BinaryType()), T.StructField("weights", T.BinaryType())])
+
+
+def words_of(text_col: str = "text") -> Column:
+    """A struct of the number of a text's words between white space, the dimensions of its distinct words (unsigned
+    16-bit numbers) and their weights (32-bit floats), log(1 + n) summed over the words that share one."""
+
+    @F.arrow_udf(_FOUND)
+    def looked_at(texts: pa.Array) -> pa.Array:
+        slots, counts, dims, weights = worker_slots(), [], [], []
+        for begin in range(0, len(texts), 64):
+            for t in texts.slice(begin, 64).cast(pa.binary()).to_pylist():
+                at, n, words = weighed_words(t, slots)
+                x = np.bincount(at, np.log1p(n), DIMS) if at else np.zeros(0)
+                found = np.flatnonzero(x)
+                counts.append(words)
+                dims.append(found.astype(np.uint16).tobytes())
+                weights.append(x[found].astype(np.float32).tobytes())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(dims, pa.binary()), pa.array(weights, pa.binary())], [f.name for f in _FOUND])
+
+    return looked_at(whole_text(text_col))
+
+
 @dataclass
 class Topics:
     """centroids: one unit row for each topic, over dimensions weighted by idf."""
@@ -57,49 +80,41 @@ class Topics:
     centroids: np.ndarray
 
     def __post_init__(self):
-        self.weighed = np.ascontiguousarray((self.centroids * self.idf).T)
-
-    def nearest(self, found: list[tuple[list[int], list[int], int]]) -> list[str]:
-        """The topic of each text of weighed_words: the centroid with the largest cosine."""
-        ends = np.cumsum([len(at) for at, _, _ in found])
-        if not len(self.centroids) or not len(ends) or not ends[-1]:
-            return [NONE] * len(found)
-        at, n = (np.fromiter(chain.from_iterable(f[i] for f in found), np.int64, ends[-1]) for i in (0, 1))
-        each = np.log1p(n)[:, None] * self.weighed[at]
-        some = np.flatnonzero(np.diff(ends, prepend=0))
-        best = np.add.reduceat(each, (ends - np.diff(ends, prepend=0))[some], axis=0).argmax(1)
-        out = [NONE] * len(found)
-        for i, topic in zip(some, best.tolist()):
+        self.weighed = np.ascontiguousarray(self.centroids * self.idf)
+
+    def nearest(self, slots: pa.Array, weights: pa.Array) -> list[str]:
+        """The topic of each text from its words' dimensions and weights: the centroid with the largest cosine."""
+        (at, lens), (x, _) = clusters.flat(slots, np.uint16), clusters.flat(weights, np.float32)
+        out, some = [NONE] * len(slots), np.flatnonzero(lens)
+        if not len(self.centroids) or not len(some):
+            return out
+        starts = (np.cumsum(lens) - lens)[some]
+        best = np.stack([np.add.reduceat(x * c[at], starts) for c in self.weighed]).argmax(0)
+        for i, topic in zip(some.tolist(), best.tolist()):
             out[i] = f"topic{topic}"
         return out
 
+    def of(self, spark: SparkSession, slots: Column, weights: Column) -> Column:
+        """The column of the topics of words_of's dimensions and weights."""
+        shared = spark.sparkContext.broadcast(self)
+
+        @F.arrow_udf(T.StringType())
+        def nearest(at: pa.Array, x: pa.Array) -> pa.Array:
+            return pa.array(shared.value.nearest(at, x), pa.string())
+
+        return nearest(slots, weights)
+
+
+def fit_found(found: DataFrame, topics: int = 8) -> Topics:
+    """Spherical k-means of all rows of a written table with words_of's slots and weights; rows without words teach nothing."""
+    rows = found.select(F.lit(0).alias("group"), "slots", "weights").where(F.octet_length("slots") > 0)
+    n = rows.count()
+    idf = clusters.inverse_frequencies(rows, n, DIMS)
+    c, have = clusters.Passes(rows, idf, 1).kmeans(np.array([n]), topics)
+    return Topics(idf, c[: have[0], 0].astype(float))
+
 
-def fit(docs: DataFrame, topics: int = 8, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Topics:
-    """Spherical k-means of about `sample` texts that a hash of id and text picks; at most twice as many reach
-    the driver, each as its dimensions and their weights (24 KB at the most)."""
-    texts = whole_text(text_col)
-    key = F.xxhash64(F.lit("topics"), F.col(id_col).cast("string"), texts)
-    chance = min(1.0, sample / max(docs.count(), 1))
-    picked = docs.select(key.alias("key"), texts.alias("text")).where(F.pmod("key", F.lit(1 << 20)) < chance * (1 << 20))
-    picked = picked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-
-    def features(batches):
-        slots = Slots()
-        for batch in batches:
-            dims, weights = [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                at, n, _ = weighed_words(t, slots)
-                x = np.bincount(at, np.log1p(n), DIMS)
-                dims.append(np.flatnonzero(x).astype(np.uint16).tobytes())
-                weights.append(x[x > 0].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.binary()), pa.array(weights, pa.binary())], ["key", "dims", "weights"])
-
-    # Few bounded rows: a sorted limit keeps the choice the same whatever the partitions are.
-    rows = picked.mapInArrow(features, "key long, dims binary, weights binary").orderBy("key", "dims", "weights").limit(2 * sample).collect()
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["dims"], np.uint16)] = np.frombuffer(r["weights"], np.float32)
-    idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))) + 1
-    x *= idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return Topics(idf, spherical_kmeans(x, topics).astype(float) if len(rows) else np.zeros((0, DIMS)))
+def fit(docs: DataFrame, topics: int = 8, text_col: str = "text") -> Topics:
+    """The topics of all texts. Their words are written once; every step is a pass over these."""
+    found = docs.select(words_of(text_col).alias("found")).select("found.slots", "found.weights")
+    return fit_found(written(found, "words", "zstd"), topics)

@@ -564,3 +564,34 @@ def test_pipeline_against_brute_force(spark, docs, sf_dir, texts):
     out = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(kept)
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
+
+
+def plain_kmeans(x, k, rounds=12):
+    """Unit centroids of unit rows, all in one array; seeds are the row nearest the mean and then those farthest from all seeds."""
+    unit = lambda v: v / np.linalg.norm(v)
+    seeds = [int((x @ x.mean(0)).argmax())]
+    while len(seeds) < min(k, len(x)):
+        seeds.append(int((x @ x[seeds].T).max(1).argmin()))
+    c = x[seeds]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        c = np.stack([unit(x[near == j].mean(0)) if (near == j).any() else c[j] for j in range(len(c))])
+    return c
+
+
+def test_topics_learn_from_every_text(spark):
+    noise, rows = random.Random(3), []
+    for i in range(4500):
+        own = [f"w{i % 9}_{noise.randrange(60)}" for _ in range(30)]
+        rows.append((i, " ".join(own + [f"common{noise.randrange(40)}" for _ in range(noise.randrange(5, 20))])))
+    docs = spark.createDataFrame([*rows, (-1, None), (-2, " \n")], "doc_id long, text string")
+    model, again = topics.fit(docs.repartition(3)), topics.fit(docs.orderBy("text").coalesce(2))
+    assert (model.centroids == again.centroids).all() and (model.idf == again.idf).all()
+    x, slots = np.zeros((len(rows), topics.DIMS)), topics.Slots()
+    for row, (_, text) in zip(x, rows):
+        for w, n in Counter(text.encode().split()).items():
+            row[slots[w]] += math.log1p(n)
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 1)
+    x = np.stack(sorted(x, key=lambda row: (np.flatnonzero(row).astype(np.uint16).tobytes(), row[row > 0].astype(np.float32).tobytes()))) * model.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(model.centroids, plain_kmeans(x, 8), atol=1e-5)
