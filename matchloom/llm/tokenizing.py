@@ -1,9 +1,10 @@
-"""Token ids of a Hugging Face BPE file, worked out once for each distinct pre-token.
+"""Token ids of a Hugging Face BPE file, worked out once for each distinct chunk between white space, and in it for each
+distinct pre-token.
 
 A text of ASCII and Latin-1 letters, whose classes are certain, is cut into pre-tokens by the tokenizer's
 own pattern. In other texts this holds for the chunks between white space, across which the tokenizer never
 joins characters; a chunk with any other character is one pre-token here and encoded by the library.
-Ids of pre-tokens come from a bounded cache. Texts that hold one of the special strings are encoded
+Ids of chunks and pre-tokens come from one bounded cache, as do the numbers of pre-tokens' ids from another. Texts that hold one of the special strings are encoded
 whole by the library, and so are all texts where the file's normalizer and pre-tokenizer are others than those
 that this module knows."""
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 
 _ASCII = bytes([*range(9, 14), *range(32, 127)])
 _LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
@@ -34,7 +36,7 @@ LONGEST_KEPT = 64
 #: A byte's character in the vocabulary of a byte-level BPE: printable ones stand for themselves.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
-_BYTE_LEVEL = {b: chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256)}
+_BYTE_LEVEL = "".join(chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256))
 
 
 def _is_plain(text: bytes) -> bool:
@@ -109,7 +111,7 @@ class ChunkEncoder:
         self.model = self.plain.model
         self.known = is_known(tokenizer_json)
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.ids_of = _Cache(self._encoded, cache)
+        self.ids_of = _Cache(self._chunk, cache)
         self.count_of = _Cache(lambda c: len(self._encoded(c)) >> 2, cache, seed)
 
     @staticmethod
@@ -122,9 +124,19 @@ class ChunkEncoder:
         text = pretoken.decode("utf-8", "replace")
         if not _is_plain(pretoken):
             return self._packed(self.plain.encode(text, add_special_tokens=False).ids)
-        low = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+        low = charmap_decode(text.lower().encode(), "strict", _BYTE_LEVEL)[0]
         return self._packed([t.id for t in self.model.tokenize(low)])
 
+    def _chunk(self, chunk: bytes) -> bytes:
+        """The ids of a chunk without white space, A-Z in lower case; those of its pre-tokens come from the cache."""
+        if chunk.isalpha():
+            return self._encoded(chunk)
+        if chunk[-1] < 128 and chunk[:-1].isalpha():  # a word and a mark or a digit: no contraction
+            return self.ids_of[chunk[:-1]] + self.ids_of[chunk[-1:]]
+        if len(parts := pretokens(chunk)) == 1:
+            return self._encoded(chunk)
+        return b"".join(map(self.ids_of.__getitem__, parts))
+
     def _is_whole(self, text: bytes) -> bool:
         """Whether the library has to see the text as it is."""
         return not self.known or any(s in text for s in self.special)
@@ -132,7 +144,7 @@ class ChunkEncoder:
     def ids(self, text: bytes) -> bytes:
         if self._is_whole(text):
             return self._packed(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        return b"".join(map(self.ids_of.__getitem__, pretokens(text)))
+        return b"".join(map(self.ids_of.__getitem__, text.lower().split()))
 
     def count(self, text: bytes) -> int:
         if self._is_whole(text):

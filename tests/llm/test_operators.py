@@ -47,6 +47,14 @@ def test_ids_are_the_librarys(library, texts):
         assert own.count(t.encode()) == len(want)
 
 
+def test_known_chunks_are_not_cut_again(library, monkeypatch):
+    own, text = tokenizing.ChunkEncoder(tokenizing.load()), "Été, word. it's word, 12 a\x01 a\x1c x' (word) ''s"
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.ids(text.encode()), np.uint32).tolist() == want
+    monkeypatch.setattr(tokenizing, "pretokens", None)
+    assert np.frombuffer(own.ids(text.encode()), np.uint32).tolist() == want
+
+
 def test_packing_round_trip(spark, sf_dir, texts, library):
     pieces = defaultdict(list)
     for r in packing.pack_power_of_two(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect():
