@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, sql_type
+from .clusters import ROWS, Passes, inverse_frequencies
+from .clusters import unit as _unit
+from .shared import bounded_batches, sql_type, written
 
 #: Hashed n-grams of one, two and three bytes share this many dimensions.
 DIMS = 1 << 13
@@ -31,10 +33,6 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
-
-
 @dataclass
 class Centroids:
     """languages[i] owns rows owner == i of centroids; a document is rejected below floors[i]."""
@@ -55,85 +53,67 @@ class Centroids:
         return self.owner[best], np.clip(cosines[np.arange(len(best)), best], 0, 1)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k unit centroids of unit rows; seeds are the row nearest the mean and then those farthest from all seeds."""
-    seeds = [int((x @ x.mean(0)).argmax())]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int((x @ x[seeds].T).max(1).argmin()))
-    c = x[seeds]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = _unit(np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))]))
-    return c
-
-
-def fit(sample: Sample, clusters: int = 3, slack: float = 0.35) -> Centroids:
-    """From the counts of labelled documents, one language after the other.
-
-    A language's floor is `slack` times the cosine that its least typical hundredth of the sample has."""
-    languages, seen = sorted(set(sample.languages)), np.zeros(DIMS)
-    for slots, _ in sample.counts:
-        seen[slots] += 1
-    idf = (np.log((1 + len(sample.languages)) / (1 + seen)) + 1).astype(np.float32)
-    model = Centroids(languages, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(len(languages)))
-    parts = []
-    for i, lang in enumerate(languages):
-        own = [c for name, c in zip(sample.languages, sample.counts) if name == lang]
-        x = np.zeros((len(own), DIMS), np.float32)
-        for row, (slots, counted) in zip(x, own):
-            row[slots] = counted
-        x = model.vectors(x)
-        parts.append(spherical_kmeans(x, clusters).astype(np.float32))
-        model.floors[i] = slack * np.quantile((x @ parts[-1].T).max(1), 0.01)
-    if parts:
-        model.centroids = np.concatenate(parts)
-        model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    return model
-
-
 @dataclass
-class Sample:
-    """Languages of documents, and for each the dimensions that its n-grams have and their counts."""
+class Labelled:
+    """What teaches: rows, a written table of n-grams as `clusters` takes them, whose group is an index into languages,
+    and how many rows each language has."""
 
     languages: list[str]
-    counts: list[tuple[np.ndarray, np.ndarray]]
+    rows: DataFrame | None
+    sizes: np.ndarray
+
+
+def fit(labelled: Labelled, clusters: int = 3, slack: float = 0.35) -> Centroids:
+    """From all rows of the labelled documents; every step is a pass over them.
+
+    A language's floor is `slack` times the cosine that the least typical hundredth of its rows has."""
+    languages, sizes = labelled.languages, labelled.sizes
+    if not sizes.sum():
+        return Centroids([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+    idf = inverse_frequencies(labelled.rows, int(sizes.sum()), DIMS).astype(np.float32)
+    passes = Passes(labelled.rows, idf, len(languages))
+    c, have = passes.kmeans(sizes, clusters)
+    floors = np.zeros(len(languages))
+    for r in passes.cosines(c, have).groupBy("group").agg(F.percentile("cosine", 0.01).alias("least")).collect():
+        floors[r["group"]] = slack * r["least"]
+    return Centroids(languages, idf, np.concatenate([c[:n, g] for g, n in enumerate(have)]), np.repeat(np.arange(len(languages)), have), floors)
 
 
-def labelled_sample(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, a_language: int, at_most: int = 6000, most_languages: int = 500
-) -> Sample:
-    """The training sample: about `a_language` labelled rows of each language, chosen by a hash of the id and the
-    text, and fewer of each where the languages are so many that this would exceed `at_most` in all.
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, a_language: int | None = None, most_languages: int = 500) -> Labelled:
+    """The training rows: all labelled rows outside held_out or, with a_language, about so many of each language,
+    chosen by a hash of the id and the text.
 
-    Only labels are counted first; a row's chance is then a_language over its language's rows. Learned are the
-    `most_languages` labels with the most rows, which a real set of languages stays below. Texts with no letter
-    teach nothing. What reaches the driver is bounded: 2 * at_most vectors of at most 48 KB."""
+    Learned are the `most_languages` labels with the most rows, which a real set of languages stays below. Texts with
+    no letter teach nothing. The n-grams are counted once and written; nothing but labels reaches the driver."""
     bounded_batches(docs)
     fold = ~F.coalesce(held_out(F.col(id_col)), F.lit(False))
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & fold)
     counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
-        return Sample([], [])
-    a_language = min(a_language, at_most / len(counts))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, a_language / r["count"])) for r in counts], "lang string, share double")
+        return Labelled([], None, np.zeros(0, int))
+    counts.sort(key=lambda r: r["lang"])
+    shares = [(r["lang"], g, min(1.0, a_language / r["count"]) if a_language else 1.0) for g, r in enumerate(counts)]
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("chance"))
-    chosen = chosen.join(F.broadcast(shares), "lang").where("chance < share").select("lang", "text")
+    chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, group int, share double")), "lang")
 
     def features(batches):
         for batch in batches:
-            langs, slots, counted = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            groups, slots, weights = [], [], []
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if has_letter(text):
                     c = ngram_counts(text.encode("utf-8", "replace"))
                     at = np.flatnonzero(c)
-                    langs.append(lang)
+                    groups.append(group)
                     slots.append(at.astype(np.uint16).tobytes())
-                    counted.append(c[at].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.binary()), pa.array(counted, pa.binary())], ["lang", "slots", "counted"])
+                    weights.append(np.log1p(c[at], dtype=np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(slots, pa.binary()), pa.array(weights, pa.binary())], ["group", "slots", "weights"])
 
-    rows = chosen.mapInArrow(features, "lang string, slots binary, counted binary").orderBy("lang", "slots", "counted").limit(2 * at_most).collect()
-    return Sample([r["lang"] for r in rows], [(np.frombuffer(r["slots"], np.uint16), np.frombuffer(r["counted"], np.float32)) for r in rows])
+    rows = written(chosen.where("chance < share").select("group", "text").mapInArrow(features, ROWS), "ngrams", "zstd")
+    sizes = np.zeros(len(counts), int)
+    for r in rows.groupBy("group").count().collect():
+        sizes[r["group"]] = r["count"]
+    return Labelled([r["lang"] for r in counts], rows, sizes)
 
 
 def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
@@ -149,13 +129,12 @@ def _predict(model: Centroids, texts: list) -> tuple[list, list, list]:
 
 
 def identify_languages(
-    docs: DataFrame, held_out=None, a_language: int = 400, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, held_out=None, a_language: int | None = None, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """(id, held_out, lang_pred, score, rejected) for every row of docs.
 
-    The centroids are fitted on a sample of about `a_language` labelled rows a language outside held_out (a
-    column over the id; null: nothing is held out; see labelled_sample for its bounds), and broadcast:
-    clusters * DIMS floats a language.
+    The centroids are fitted on all labelled rows outside held_out (a column over the id; null: nothing is held
+    out; with a_language on about so many a language), and broadcast: clusters * DIMS floats a language.
     lang_pred is the language of the nearest centroid by cosine, score that cosine; a text that is null or
     has no letter gets und and score 0. rejected: und, or farther from every centroid than the nearest
     language's floor allows. Where no labelled row exists everything is und. Predictions use the text alone;
@@ -174,7 +153,7 @@ def identify_languages(
     return docs.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)), text_col).mapInArrow(predicted, schema)
 
 
-def keep_identified(docs: DataFrame, a_language: int = 400, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, a_language: int | None = None, clusters: int = 3, slack: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, with their columns, that identify_languages doesn't reject; nothing is held out.
 
     Null and empty texts and those without a letter go. Repeated rows and rows with a null id are decided each;

@@ -603,3 +603,21 @@ def test_topics_learn_from_every_text(spark):
     x = np.stack(sorted(x, key=lambda row: (np.flatnonzero(row).astype(np.uint16).tobytes(), row[row > 0].astype(np.float32).tobytes()))) * model.idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(model.centroids, plain_kmeans(x, 8), atol=1e-5)
+
+
+def test_languages_learn_from_every_text(spark):
+    noise, rows = random.Random(4), []
+    for i in range(1300):
+        lang = "ab"[i % 2]
+        rows.append((i, " ".join("".join(noise.choices("abcdefgh" if lang == "a" else "ghijklmn", k=6)) for _ in range(12)), lang))
+    docs = spark.createDataFrame([*rows, (-1, None, "a"), (-2, "12 !", "a"), (-3, "xyz", None), (-4, "12", "c")], "doc_id long, text string, lang string")
+    model = language_id.fit(language_id.labelled_sample(docs.repartition(3), "doc_id", "text", "lang", lambda i: F.lit(False)))
+    counts = np.stack([language_id.ngram_counts(text.encode()) for _, text, _ in rows])
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1)
+    for g, lang in enumerate("ab"):
+        x = model.vectors(counts[[i for i, r in enumerate(rows) if r[2] == lang]].astype(np.float32)).astype(float)
+        want = plain_kmeans(x, 3)
+        assert np.allclose(model.centroids[model.owner == g], want, atol=1e-5)
+        assert model.floors[g] == pytest.approx(0.35 * np.quantile((x @ want.T).max(1), 0.01), abs=1e-5)
+    kept = language_id.keep_identified(docs).collect()
+    assert {r.doc_id for r in kept if r.doc_id >= 0} == set(range(1300)) and not {-1, -2, -4} & {r.doc_id for r in kept}
