@@ -1,7 +1,8 @@
 """Spherical k-means over every row of a table of sparse vectors.
 
 The rows are (group int, slots binary, weights binary): the slots of a vector, distinct unsigned 16-bit numbers, and
-its weights, 32-bit floats, at least one of each. Every step is one pass over them, whose sums are exact, so that the
+its weights, 32-bit floats, at least one of each. Tables that many passes read are better given as `blocks` of such
+rows, which Spark hands to Python without looking into them. Every step is one pass over them, whose sums are exact, so that the
 result depends neither on how the rows are split nor on their order. Only sums and seeds reach the driver."""
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches, written
+
 ROWS = "group int, slots binary, weights binary"
 #: Components of unit vectors are summed as multiples of 1 / ONE: whole numbers, exact up to 2^29 rows.
 ONE = 1 << 24
 #: Rows that are worked on at once.
-_AT_ONCE = 256
+_AT_ONCE = 128
+_BLOCK = pa.schema([("block", pa.binary()), ("vectors", pa.int32())])
+#: For the files of blocks: row groups of some 1 MB, as Spark's reader holds all blocks of one at once.
+_SMALL_GROUPS = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 
 
 def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +33,13 @@ def flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return numbers, np.diff(ends) // np.dtype(kind).itemsize
 
 
+def binary(numbers: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """The binary column that `flat` reads."""
+    ends = np.concatenate([[0], np.cumsum(lens) * numbers.itemsize])
+    assert ends[-1] < 1 << 31
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers.tobytes())])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -44,15 +57,49 @@ class Vectors:
     def cosines(self, centroids: np.ndarray, have: np.ndarray) -> np.ndarray:
         """The cosine with each centroid of the row's own group; -inf where the group has fewer. centroids: one row of
         `dims` after the other for every group, for each cluster; have: the groups' numbers of clusters."""
-        place, out = np.repeat(self.group, self.lens) * centroids.shape[-1] + self.at, np.empty((len(self.lens), centroids.shape[0]))
+        place, out = self.at, np.empty((len(self.lens), centroids.shape[0]))
+        if centroids.shape[1] == 1:  # few numbers: widened here rather than at each place
+            centroids = centroids.astype(float)
+        else:
+            place = np.repeat(self.group, self.lens) * centroids.shape[-1] + place
         for j, c in enumerate(centroids):
-            out[:, j] = np.where(j < have[self.group], np.add.reduceat(self.x * c.ravel()[place], self.starts), -np.inf)
+            parts = self.x * np.take(c.ravel(), place, mode="clip")
+            out[:, j] = np.where(j < have[self.group], np.add.reduceat(parts, self.starts), -np.inf)
         return out
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """The same rows in blocks, written: (block, vectors), Arrow's compressed stream of some rows and their number."""
+    bounded_batches(rows)
+    kind = pa.schema([("group", pa.int32()), ("slots", pa.binary()), ("weights", pa.binary())])
+
+    def packed(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _AT_ONCE):
+                batch, out = whole.slice(begin, _AT_ONCE), pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, kind, options=options) as stream:
+                    stream.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, kind)], schema=kind))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([batch.num_rows], pa.int32())], schema=_BLOCK)
+
+    # Nothing is left for the writer to compress.
+    return written(rows.mapInArrow(packed, "block binary, vectors int"), "blocks", "uncompressed", _SMALL_GROUPS)
+
+
+def opened(batches):
+    """Arrow batches of rows, from such or from batches of blocks."""
+    options = pa.ipc.IpcReadOptions(use_threads=False)
+    for batch in batches:
+        if batch.schema.names != _BLOCK.names:
+            yield batch
+            continue
+        for block in batch.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer(), options=options)
+
+
 def vectors(batches, idf: np.ndarray):
-    """The rows of Arrow batches (group, slots, weights), some at a time."""
-    for whole in batches:
+    """The rows of Arrow batches, some at a time."""
+    for whole in opened(batches):
         for begin in range(0, whole.num_rows, _AT_ONCE):
             batch = whole.slice(begin, _AT_ONCE)
             yield batch, Vectors(batch.column(0).to_numpy().astype(np.int64), batch.column(1), batch.column(2), idf)
@@ -80,7 +127,7 @@ def frequencies(rows: DataFrame, dims: int) -> np.ndarray:
 
     def counted(batches):
         seen = np.zeros(dims, np.int64)
-        for batch in batches:
+        for batch in opened(batches):
             seen += np.bincount(flat(batch.column(1), np.uint16)[0], minlength=dims)
         yield _cells({0: seen})
 
@@ -92,7 +139,7 @@ def inverse_frequencies(rows: DataFrame, n: int, dims: int) -> np.ndarray:
 
 
 class Passes:
-    """Passes over the rows with one idf."""
+    """Passes over the rows, or blocks of them, with one idf."""
 
     def __init__(self, rows: DataFrame, idf: np.ndarray, groups: int):
         self.rows, self.dims, self.groups, self.spark = rows, len(idf), groups, rows.sparkSession

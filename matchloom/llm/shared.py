@@ -62,13 +62,13 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy", options: dict | None = None) -> DataFrame:
     """df, written once to the shared folder and read again: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{label}"
     _written.append(path.rsplit("/", 1)[0])
     with shuffles_dropped(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(compression=compression, **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

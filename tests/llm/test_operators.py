@@ -9,12 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from matchloom.llm import language_id, license_oracle, license_templates, licenses, lm_scoring, mixing, near_dedup, packing, queries, token_counts, tokenizing, topics, topk, training_order
+from matchloom.llm import clusters, language_id, license_oracle, license_templates, licenses, lm_scoring, mixing, near_dedup, packing, queries, token_counts, tokenizing, topics, topk, training_order
 
 
 @pytest.fixture(scope="module")
@@ -621,3 +622,39 @@ def test_languages_learn_from_every_text(spark):
         assert model.floors[g] == pytest.approx(0.35 * np.quantile((x @ want.T).max(1), 0.01), abs=1e-5)
     kept = language_id.keep_identified(docs).collect()
     assert {r.doc_id for r in kept if r.doc_id >= 0} == set(range(1300)) and not {-1, -2, -4} & {r.doc_id for r in kept}
+
+
+def test_words_of_many_texts_as_of_one():
+    plain = ["", " ", "one", " a b\x0b\x0c\r\nA\tB ", "É é \x85 x\x1cy   y", "\x00 \x00a", "w " * 3000, "x" * (1 << 20) + " y", *(f"w{i % 7} w{i} W{i}" for i in range(300))]
+    broken = pa.array([bytes(random.Random(i).choices(b" \t\n\x0b\x0c\rAa\xc3\xa9\xff\x00\x1c\x85", k=30)) for i in range(300)], pa.binary())
+    for texts in (pa.array(plain), pa.array(plain).slice(3, 200), pa.Array.from_buffers(pa.string(), len(broken), broken.buffers())):
+        bunches = list(topics._bunches(texts))
+        assert sum(map(len, bunches)) == len(texts) and max(map(len, bunches)) <= 128 and all(len(b) == 1 or b.nbytes < 1 << 21 for b in bunches)
+        n, lens, slots, weights = map(np.concatenate, zip(*map(topics.weighed_words, bunches)))
+        ends, known = np.cumsum(lens), topics.Slots()
+        for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+            want, words = Counter(), text.lower().split()
+            for w, k in Counter(words).items():
+                want[known[w]] += math.log1p(k)
+            own = slice(ends[i] - lens[i], ends[i])
+            assert n[i] == len(words) and slots[own].tolist() == sorted(want)
+            assert np.allclose(weights[own], [want[s] for s in sorted(want)], rtol=1e-6)
+
+
+def test_blocks_hold_every_vector(spark):
+    noise, rows = random.Random(5), []
+    for i in range(1000):
+        at = sorted(noise.sample(range(1 << 16), noise.randrange(1, 40)))
+        rows.append((i % 3, np.array(at, np.uint16).tobytes(), np.array([noise.random() for _ in at], np.float32).tobytes()))
+    blocks = clusters.blocks(spark.createDataFrame(rows, clusters.ROWS).repartition(2))
+    back = blocks.mapInArrow(clusters.opened, clusters.ROWS).collect()
+    assert sorted((r["group"], bytes(r["slots"]), bytes(r["weights"])) for r in back) == sorted(rows)
+    assert blocks.agg(F.sum("vectors")).first()[0] == 1000 and blocks.count() < 20
+
+
+def test_topics_pass_over_blocks(spark, monkeypatch):
+    read, begin = [], clusters.Passes.__init__
+    monkeypatch.setattr(clusters.Passes, "__init__", lambda self, rows, *a: (read.append(rows), begin(self, rows, *a))[1])
+    docs = spark.range(2000).select(F.concat_ws(" ", F.lit("a"), F.col("id") % 5, F.col("id") % 7).alias("text"))
+    assert len(topics.fit(docs.coalesce(1)).centroids) == 8
+    assert [r.count() for r in read] == [16]  # Spark's rows in each of the passes, not 2,000
