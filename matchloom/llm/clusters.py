@@ -50,22 +50,22 @@ class Vectors:
     def __init__(self, group: np.ndarray, slots: pa.Array, weights: pa.Array, idf: np.ndarray):
         self.group, (at, self.lens) = group, flat(slots, np.uint16)
         self.at, self.starts = at.astype(np.int64), np.cumsum(self.lens) - self.lens
-        x = flat(weights, np.float32)[0] * idf[self.at]
+        x = flat(weights, np.float32)[0] * np.take(idf, self.at, mode="clip")
         norm = np.sqrt(np.add.reduceat(x * x, self.starts))
         self.x = x / np.repeat(np.maximum(norm, 1e-12), self.lens)
 
     def cosines(self, centroids: np.ndarray, have: np.ndarray) -> np.ndarray:
         """The cosine with each centroid of the row's own group; -inf where the group has fewer. centroids: one row of
         `dims` after the other for every group, for each cluster; have: the groups' numbers of clusters."""
-        place, out = self.at, np.empty((len(self.lens), centroids.shape[0]))
+        place, out, own = self.at, np.empty((centroids.shape[0], len(self.lens))), have[self.group]
         if centroids.shape[1] == 1:  # few numbers: widened here rather than at each place
             centroids = centroids.astype(float)
         else:
             place = np.repeat(self.group, self.lens) * centroids.shape[-1] + place
         for j, c in enumerate(centroids):
-            parts = self.x * np.take(c.ravel(), place, mode="clip")
-            out[:, j] = np.where(j < have[self.group], np.add.reduceat(parts, self.starts), -np.inf)
-        return out
+            np.add.reduceat(self.x * np.take(c.ravel(), place, mode="clip"), self.starts, out=out[j])
+            out[j, own <= j] = -np.inf
+        return out.T
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def blocks(rows: DataFrame) -> DataFrame:
     kind = pa.schema([("group", pa.int32()), ("slots", pa.binary()), ("weights", pa.binary())])
 
     def packed(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        # Every pass opens them: lz4's are larger than zstd's, and opened in a third of the time.
+        options = pa.ipc.IpcWriteOptions(compression="lz4", use_threads=False)
         for whole in batches:
             for begin in range(0, whole.num_rows, _AT_ONCE):
                 batch, out = whole.slice(begin, _AT_ONCE), pa.BufferOutputStream()
@@ -152,8 +153,9 @@ class Passes:
         def summed(batches):
             total: dict[int, np.ndarray] = {}
             for _, v in vectors(batches, idf.value):
-                cells, own = np.unique(v.group * k + v.cosines(*shared.value).argmax(1), return_inverse=True)
-                some = np.bincount(np.repeat(own, v.lens) * dims + v.at, np.rint(v.x * ONE), len(cells) * dims).astype(np.int64).reshape(-1, dims)
+                nearest = v.cosines(*shared.value).argmax(1) if k > 1 else 0
+                cells, own = np.unique(v.group * k + nearest, return_inverse=True)
+                some = np.bincount(np.repeat(own * dims, v.lens) + v.at, np.rint(v.x * ONE), len(cells) * dims).astype(np.int64).reshape(-1, dims)
                 for cell, s in zip(cells.tolist(), some):
                     total[cell] = total.get(cell, 0) + s
             yield _cells(total)

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -658,3 +659,26 @@ def test_topics_pass_over_blocks(spark, monkeypatch):
     docs = spark.range(2000).select(F.concat_ws(" ", F.lit("a"), F.col("id") % 5, F.col("id") % 7).alias("text"))
     assert len(topics.fit(docs.coalesce(1)).centroids) == 8
     assert [r.count() for r in read] == [16]  # Spark's rows in each of the passes, not 2,000
+
+
+def test_passes_open_blocks_quickly_and_take_no_needless_cosines(spark, monkeypatch):
+    rows = [(g, np.array([s, s + 1 + g], np.uint16).tobytes(), np.array([1, 2 + s], np.float32).tobytes()) for g in range(2) for s in range(6)]
+    blocks = clusters.blocks(spark.createDataFrame(rows, clusters.ROWS).coalesce(1)).toArrow().to_batches()
+    held = b"".join(b.as_py() for batch in blocks for b in batch.column(0))
+    assert b"\x04\x22\x4d\x18" in held and b"\x28\xb5\x2f\xfd" not in held  # LZ4's frames, not Zstandard's
+
+    idf, centroids, have = np.linspace(1, 2, 9), np.random.default_rng(3).random((2, 2, 9)).astype(np.float32), np.array([2, 1])
+    (_, v), x = next(clusters.vectors(blocks, idf)), np.zeros((12, 9))
+    for i, (_, at, w) in enumerate(rows):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(w, np.float32)
+    x, group = clusters.unit(x * idf), np.repeat([0, 1], 6)
+    want = np.einsum("id,kid->ik", x, centroids[:, group])
+    want[group == 1, 1] = -np.inf
+    assert np.allclose(v.cosines(centroids, have), want)
+
+    # The sum of all rows of a group is the same wherever its only centroid is.
+    monkeypatch.setattr(clusters.Vectors, "cosines", None)
+    monkeypatch.setattr(clusters, "_added", lambda parts: {c: np.frombuffer(s, np.int64) for p in parts for c, s in zip(*(col.to_pylist() for col in p.columns))})
+    here = SimpleNamespace(sparkSession=spark, mapInArrow=lambda f, schema: list(f(blocks)))
+    sums = clusters.Passes(here, idf, 2).sums(centroids[:1], np.ones(2, int))
+    assert [sums[g].tolist() for g in range(2)] == [np.rint(x[group == g] * clusters.ONE).sum(0).tolist() for g in range(2)]
