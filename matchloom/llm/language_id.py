@@ -92,10 +92,12 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not counts:
         return Labelled([], None, np.zeros(0, int))
     counts.sort(key=lambda r: r["lang"])
-    shares = [(r["lang"], g, min(1.0, a_language / r["count"]) if a_language else 1.0) for g, r in enumerate(counts)]
+    shares = [min(1.0, a_language / r["count"]) if a_language else 1.0 for r in counts]
+    # As an Arrow table: rows of a list go through an RDD, which starts a second daemon with Python workers of its own.
+    groups = docs.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in counts], "group": pa.array(range(len(counts)), pa.int32()), "share": pa.array(shares, pa.float64())}))
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("chance"))
-    chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, group int, share double")), "lang")
+    chosen = chosen.join(F.broadcast(groups), "lang")
 
     def features(batches):
         for batch in batches:

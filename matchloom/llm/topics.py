@@ -111,7 +111,9 @@ class Topics:
         def nearest(at: pa.Array, x: pa.Array) -> pa.Array:
             return pa.array(shared.value.nearest(at, x), pa.string())
 
-        return nearest(slots, weights)
+        # Never null, and Spark has to know: else a join by the topic first filters by it, which makes all topics
+        # twice and takes two Python workers more in each executor.
+        return F.coalesce(nearest(slots, weights), F.lit(NONE))
 
 
 def fit_found(found: DataFrame, topics: int = 8) -> Topics:

@@ -682,3 +682,15 @@ def test_passes_open_blocks_quickly_and_take_no_needless_cosines(spark, monkeypa
     here = SimpleNamespace(sparkSession=spark, mapInArrow=lambda f, schema: list(f(blocks)))
     sums = clusters.Passes(here, idf, 2).sums(centroids[:1], np.ones(2, int))
     assert [sums[g].tolist() for g in range(2)] == [np.rint(x[group == g] * clusters.ONE).sum(0).tolist() for g in range(2)]
+
+
+def test_a_join_by_topic_makes_topics_once(docs):
+    """A stage has one Python operator: with two, an executor's tasks keep twice as many workers."""
+    plan = mixing.mixed_sample(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_no_rows_go_through_a_python_rdd(spark, docs, monkeypatch):
+    """Its workers are others than those of the operators, and stay in memory beside them."""
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a: pytest.fail("an RDD of Python rows"))
+    assert language_id.keep_identified(docs).count() > 0
